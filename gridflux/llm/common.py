@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN: dict[str, str] = {}
 
@@ -62,3 +63,26 @@ def bounded_sample(df: DataFrame, key: str, ident: str, per_key: int, most_keys:
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(ident).cast("string")), F.lit(1 << 20)) / float(1 << 20)
     cut = F.create_map(*(x for k, v in rate.items() for x in (F.lit(k), F.lit(v))))
     return df.where(F.col(key).isNotNull() & (share < F.element_at(cut, F.col(key))))
+
+
+def with_computed(df: DataFrame, column: str, compute, added: str) -> DataFrame:
+    """df plus the columns `added` (a schema string), where compute(values of `column`) gives their Arrow arrays batch by batch.
+
+    `compute` is made anew in each task by calling it without arguments. Columns travel by position, so that their names
+    may hold anything; columns that bear an added name are replaced.
+    """
+    new = T._parse_datatype_string(added)
+    df = df.drop(*new.names)
+    names = df.columns
+    at = names.index(column)
+    plain = df.toDF(*(f"c{i}" for i in range(len(names))))
+    schema = T.StructType([*plain.schema.fields, *new.fields])
+
+    def run(batches):
+        import pyarrow as pa
+
+        step = compute()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, *step(b.column(at))], schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*names, *new.names)
