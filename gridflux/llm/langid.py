@@ -14,10 +14,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import bounded_sample, only, table, with_computed
+from gridflux.llm.common import bounded_sample, crc_mod, only, table, with_computed
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -25,11 +25,6 @@ UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def crc_mod(ident: Column, m: int) -> Column:
-    """crc32 of an id's decimal text, modulo m; -1 for null."""
-    return F.coalesce(F.pmod(F.crc32(ident.cast("string")), F.lit(m)), F.lit(-1))
-
-
 def windows_of(data: bytes, size: int = WINDOW) -> np.ndarray:
     n = max(1, -(-len(data) // size))
     out = np.zeros(n * size, np.uint8)
