@@ -69,7 +69,7 @@ class FactorizationMachine:
         z = self.w0 if not len(idx) else float(self.raw(idx, np.array([0]))[0])
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
-    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 60, batch: int = 128, rate: float = 0.3, l2: float = 2e-5, seed: int = 9) -> FactorizationMachine:
+    def fit(self, rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.2, l2: float = 2e-5, seed: int = 9) -> FactorizationMachine:
         rng = np.random.default_rng(seed)
         g0, gw, gv = 1e-6, np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6)
         prior = float((y * weight).sum() / weight.sum())
@@ -98,8 +98,8 @@ class FactorizationMachine:
         return self
 
 
-def chi_square(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 4) -> np.ndarray:
-    """The places that tell the classes apart best, among those in at least `least` rows."""
+def chi_square(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 4, least_score: float = 15.0) -> np.ndarray:
+    """The places that tell the classes apart best, among those in at least `least` rows and beyond chance (chi-square)."""
     pos = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y) if t)]), minlength=PLACES).astype(float)
     neg = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y) if not t)]), minlength=PLACES).astype(float)
     n1, n0 = float(y.sum()), float(len(y) - y.sum())
@@ -107,11 +107,14 @@ def chi_square(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 4)
     gap = pos * (n0 - neg) - neg * (n1 - pos)
     score = np.where(both >= least, gap * gap / np.maximum(both * (n1 + n0 - both), 1), -1)
     best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(best[score[best] > 0])
+    return np.sort(best[score[best] >= least_score])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, features: int = 4096):
-    """(machine, places) from a sample of about per_class rows of each class; (prior, None) where there is no second class."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, features: int = 4096, rare: float = 3.0):
+    """(machine, places) from a sample of about per_class rows of each class; (prior, None) where there is no second class.
+
+    Rows of the rarer class weigh `rare` times their share.
+    """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(n) < 2:
@@ -136,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     where[places] = np.arange(len(places))
     rows = [r[r >= 0] for r in (where[r] for r in rows)]
     share = {k: n[k] / max(1, int((y == k).sum())) for k in n}
-    weight = np.array([share[int(t)] for t in y])
+    weight = np.array([share[int(t)] * (rare if n[int(t)] == min(n.values()) else 1.0) for t in y])
     return FactorizationMachine(len(places)).fit(rows, y, weight / weight.mean()), places
 
 
