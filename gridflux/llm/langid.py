@@ -54,7 +54,9 @@ class ByteCNN:
             pooled.append(np.take_along_axis(s, at[:, None, :], 1)[:, 0] + self.p[f"c{w}"])
         return np.concatenate(pooled, axis=1), where
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.01, seed: int = 11) -> ByteCNN:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, least_steps: int = 400, batch: int = 128, rate: float = 0.01, seed: int = 11) -> ByteCNN:
+        """Adam over `epochs` passes, and as many more as `least_steps` steps take: few rows are met more often."""
+        epochs = max(epochs, -(-least_steps // -(-len(x) // batch)))
         rng = np.random.default_rng(seed)
         m, v, t = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
         for epoch in range(epochs):
