@@ -130,11 +130,20 @@ def rules() -> list[Rule]:
     return [*((label, phrase.split()[-1] if phrase.endswith("license") else phrase.split()[0], phrase, 1, 0.8) for phrase, label in BASE.items()), *written_rules(), *family_rules()]
 
 
+def rule_table(known: list[Rule]) -> Column:
+    """A constant map: keyword, with a space before it, to its rules. Written as SQL, which is parsed at once."""
+    by_key: dict[str, list[str]] = {}
+    for n, (label, key, rx, level, score) in enumerate(known):
+        rule = f"named_struct('n', {n}, 'label', '{label}', 'rx', r'(?<= ){rx}(?= )', 'level', {level}, 'score', {score}D, 'base', {n < len(BASE)})"
+        by_key.setdefault(key, []).append(rule)
+    return F.expr("map(" + ", ".join(f"' {k}', array({', '.join(v)})" for k, v in by_key.items()) + ")")
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and the kept detections with their word spans."""
     known = rules()
     kinds = sorted({k for _, k, _, _, _ in known})
-    table_ = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(label).alias("label"), F.lit(f" {k}").alias("key"), F.lit(f"(?<= ){rx}(?= )").alias("rx"), F.lit(level).alias("level"), F.lit(score).alias("score"), F.lit(n < len(BASE)).alias("base")) for n, (label, k, rx, level, score) in enumerate(known)))
+    table_ = rule_table(known)
     form = F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_az(F.coalesce("text", F.lit(""))), GAPS, " ")), F.lit(" "))
     rows = docs.select("doc_id", form.alias("form")).withColumn("gate", F.col("form").rlike(f" (?:{'|'.join(kinds)})"))
 
@@ -148,7 +157,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     keys = F.filter(F.array(*(F.lit(f" {k}") for k in kinds)), lambda k: F.contains(F.col("form"), k))
     rows = rows.withColumn("keys", F.when(F.col("gate"), keys))
-    hits = F.array_sort(F.flatten(F.transform(F.filter(table_, lambda r: F.array_contains(F.col("keys"), r["key"]) & F.regexp_like(F.col("form"), r["rx"])), spans)))
+    # keys stand outside every lambda: the optimiser may move them here, and they are still found once per text
+    chosen = F.flatten(F.transform("keys", lambda k: F.element_at(table_, k)))
+    hits = F.array_sort(F.flatten(F.transform(F.filter(chosen, lambda r: F.regexp_like(F.col("form"), r["rx"])), spans)))
     rows = rows.withColumn("hits", F.when(F.col("gate"), hits))
     none = F.lit(-1).cast("int")
     start = F.struct(none.alias("e1"), none.alias("e2"), none.alias("e3"), F.array().cast("array<struct<start:int,end:int,label:string,score:double>>").alias("kept"))
