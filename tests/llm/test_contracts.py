@@ -150,6 +150,21 @@ def test_op4_awkward_pages(spark, odd):
     assert got[1].text == "Main & text" and got[2].text == got[3].text == "" and got[4].text == "unclosed bold" and got[5].n_chars == 50_000 * 5 - 1
 
 
+def extracted(spark, pages):
+    from gridflux.llm import html
+
+    return {r.page_id: r for r in html.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+
+
+def test_op4_deletes_shared_lines_inside_articles(spark):
+    story = lambda k: f"<p>{' '.join(f'story{k}word{i}' for i in range(30))}</p>"
+    pages = [(k, f"http://a.org/{k}", f"<article>{story(k)}<p>Subscribe to read on</p></article>") for k in range(4)]
+    got = extracted(spark, pages)
+    assert all(got[k].text == story(k)[3:-4] and got[k].n_shared == 1 for k in range(4))
+    copies = [(k, f"http://b.org/{k}", f"<main>{story(9)}</main>") for k in range(2)]
+    assert all(r.text == story(9)[3:-4] for r in extracted(spark, copies).values())
+
+
 def test_op5_base(spark, sf_dir):
     want = []
     for doc_id, text, *_ in texts(spark, sf_dir):
