@@ -165,6 +165,16 @@ def test_op4_deletes_shared_lines_inside_articles(spark):
     assert all(r.text == story(9)[3:-4] for r in extracted(spark, copies).values())
 
 
+def test_op4_long_and_unclosed_attribute_values():
+    from gridflux.llm.html import DROP, OPEN, visible_lines
+
+    big = "x" * 5000
+    assert visible_lines(f'<p>a <img src="data:{big}"> b</p>') == [("a b", OPEN)]
+    assert visible_lines(f"<div class='sidebar' data-x='{big}'>menu</div><script a=\"{big}\">code</script><p>t</p>") == [("menu", DROP), ("t", OPEN)]
+    assert visible_lines('<p>a <b title="x>bold</b> c</p>') == [("a bold c", OPEN)]
+    assert visible_lines('<p>a</p><script a="x>code</script>') == [("a", OPEN)]
+
+
 def test_op5_base(spark, sf_dir):
     want = []
     for doc_id, text, *_ in texts(spark, sf_dir):
