@@ -165,6 +165,15 @@ def test_op4_deletes_shared_lines_inside_articles(spark):
     assert all(r.text == story(9)[3:-4] for r in extracted(spark, copies).values())
 
 
+def test_op4_short_pages_and_runs_of_copies(spark):
+    menu = "<p>A long unmarked template line that stands on each page of this host and says nothing new</p>"
+    pages = [(k, f"http://a.org/{k}", f"{menu}<p>news {k}</p>") for k in range(3)]
+    assert {k: r.text for k, r in extracted(spark, pages).items()} == {k: f"news {k}" for k in range(3)}
+    story = lambda k: " ".join(f"story{k}word{i}" for i in range(40))
+    pages = [(k, f"http://a.org/{k}", f"{menu}<p>{story(0 if k < 5 else k)}</p>") for k in range(8)]
+    assert {k: r.text for k, r in extracted(spark, pages).items()} == {k: story(0 if k < 5 else k) for k in range(8)}
+
+
 def test_op4_long_and_unclosed_attribute_values():
     from gridflux.llm.html import DROP, OPEN, visible_lines
 
