@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased (A-Z), cut into words and joined again by single spaces. Rules are regular expressions over that
-form, each gated by a keyword: one cheap alternation decides whether a text has any keyword at all, then the keywords
-found select the rules that run. Detections are word intervals with their rule's priority; sorted by start and
+form, each gated by a keyword, a word that stands in every text the rule matches: one cheap alternation decides whether a
+text has any keyword at all, then the keywords found select the rules that run. Detections are word intervals with their rule's priority; sorted by start and
 length, one pass suppresses every detection whose interval lies within one of equal or higher priority. Base phrases are
 reported at all their places, suppressed or not.
 
@@ -17,117 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridflux.llm.common import lower_az, only, table
+from gridflux.llm.license_rules import BASE, Rule, gate, rules
 
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# fixed values: the base phrases and their labels
-BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-
-#: (label, keyword, expression, priority, confidence); an expression speaks of whole words
-Rule = tuple[str, str, str, int, float]
-
-
-def written_rules() -> list[Rule]:
-    """Rules that follow no family: texts, names and notices written out one by one."""
-    full, name, hint = 3, 2, 1
-    return [
-        ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software", full, 1.0),
-        ("mit", "licensed", r"licensed under (?:the )?mit(?: license)?", name, 0.9),
-        ("mit", "license", r"(?:released|distributed|available) under the (?:terms of the )?mit license", name, 0.95),
-        ("mit", "spdx", r"spdx license identifier mit", full, 1.0),
-        ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", full, 1.0),
-        ("isc", "license", r"isc license", name, 0.9),
-        ("zlib", "license", r"zlib(?: libpng)? license", name, 0.9),
-        ("zlib", "warranty", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable", full, 1.0),
-        ("boost", "license", r"boost software license(?: version 1 0)?", name, 0.95),
-        ("unlicense", "public domain", r"this is free and unencumbered software released into the public domain", full, 1.0),
-        ("unlicense", "unlicense", r"(?:the )?unlicense", name, 0.8),
-        ("wtfpl", "wtfpl", r"wtfpl", name, 0.8),
-        ("cc0", "creative commons", r"creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?", full, 1.0),
-        ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", name, 0.9),
-        ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain", name, 0.8),
-        ("public-domain", "public domain", r"public domain", hint, 0.5),
-        ("artistic", "license", r"artistic license(?: version)?(?: [12] 0)?", name, 0.9),
-        ("psf", "license", r"python software foundation license(?: version 2)?", name, 0.95),
-        ("ofl", "license", r"sil open font license(?: version 1 1)?", name, 0.95),
-        ("openssl", "license", r"openssl license", name, 0.9),
-        ("ms-pl", "license", r"microsoft public license", name, 0.9),
-        ("ms-rl", "license", r"microsoft reciprocal license", name, 0.9),
-        ("eupl", "licence", r"european union public licence(?: v(?:ersion)? ?1 [0-2])?", name, 0.95),
-        ("cecill", "license", r"cecill(?: [bc])?(?: free software)? license(?: agreement)?", name, 0.9),
-        ("odbl", "license", r"open (?:data commons open )?database license", name, 0.95),
-        ("pddl", "license", r"public domain dedication and license", name, 0.95),
-        ("gfdl", "license", r"gnu free documentation license(?: version 1 [1-3])?", full, 1.0),
-        ("ncsa", "license", r"university of illinois (?:ncsa )?open source license", name, 0.95),
-        ("postgresql", "license", r"postgresql licen[cs]e", name, 0.9),
-        ("ibm-pl", "license", r"ibm public license", name, 0.9),
-        ("cpl", "license", r"common public license(?: version 1 0)?", name, 0.9),
-        ("osl", "license", r"open software license(?: version)?(?: [123] [01])?", name, 0.9),
-        ("afl", "license", r"academic free license(?: version)?(?: [123] [012])?", name, 0.9),
-        ("sspl", "license", r"server side public license", name, 0.95),
-        ("busl", "license", r"business source license(?: 1 1)?", name, 0.95),
-        ("elastic", "license", r"elastic license(?: 2 0)?", name, 0.9),
-        ("commons-clause", "license", r"commons clause license condition", name, 0.9),
-        ("vim", "license", r"vim license", name, 0.8),
-        ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", full, 1.0),
-        ("bsd", "license", r"bsd(?: style)? license", name, 0.8),
-        ("bsd-4-clause", "materials", r"all advertising materials mentioning features or use of this software must display", full, 1.0),
-        ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software without specific prior written permission", full, 1.0),
-        ("warranty-disclaimer", "warranty", r"without warranty of any kind(?: express or implied)?", hint, 0.4),
-        ("warranty-disclaimer", "as is", r"provided as is", hint, 0.3),
-        ("all-rights-reserved", "rights reserved", r"all rights reserved", hint, 0.6),
-        ("all-rights-reserved", "rights reserved", r"some rights reserved", hint, 0.5),
-        ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", hint, 0.6),
-        ("copyright", "copyright", r"copyright (?:by|c|of|holders?|notice|owners?)", hint, 0.5),
-        ("proprietary", "proprietary", r"(?:confidential and proprietary|proprietary and confidential)", name, 0.8),
-        ("proprietary", "proprietary", r"proprietary (?:license|software|information)", name, 0.7),
-        ("proprietary", "permission", r"no part of this (?:publication|work|document|book) may be reproduced", name, 0.9),
-        ("proprietary", "permission", r"(?:without|except with) (?:the )?(?:express|prior|written)(?: written)? permission of", hint, 0.6),
-        ("commercial", "license", r"end user license agreement", name, 0.8),
-        ("commercial", "license", r"commercial license", hint, 0.6),
-        ("terms", "terms", r"subject to (?:the|these|our) terms (?:and conditions|of (?:use|service))", hint, 0.4),
-    ]
-
-
-def family_rules() -> list[Rule]:
-    """Families built from their members, versions and ways of naming them."""
-    out: list[Rule] = []
-    long = {"by": "attribution", "sa": "share ?alike", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?"}
-    for parts in (("by",), ("by", "sa"), ("by", "nc"), ("by", "nd"), ("by", "nc", "sa"), ("by", "nc", "nd")):
-        for version in ("", "1.0", "2.0", "2.5", "3.0", "4.0"):
-            label = "cc-" + "-".join(parts) + (f"-{version}" if version else "")
-            tail = "".join(f" {x}" for x in version.split(".") if x)
-            score, level = (1.0, 3) if version else (0.85, 2)
-            out.append((label, "cc", f"cc {' '.join(parts)}{tail}", level, score))
-            out.append((label, "creativecommons", f"creativecommons org licenses {' '.join(parts)}{tail}", level, score))
-            out.append((label, "creative commons", f"creative commons {' '.join(long[p] for p in parts)}(?: international| unported| generic)?{tail}(?: (?:international|unported|generic))?", level, score))
-    for code, word, versions in (("gpl", "", ("1", "2", "3")), ("lgpl", "(?:lesser |library )", ("2", "2.1", "3")), ("agpl", "affero ", ("1", "3"))):
-        for version in versions:
-            v = version.replace(".", " ")
-            zero = "" if "." in version else "(?: 0)?"
-            for suffix, end in (("", ""), ("-only", " only"), ("-or-later", "(?: of the license)?(?: or at your option)?(?: or)? any later(?: version)?")):
-                label = f"{code}-{version}{suffix}"
-                out.append((label, "license", f"gnu {word}general public license(?: as published by the free software foundation)?(?: either)? v(?:ersion )?{v}{zero}{end}", 3, 1.0))
-                short = " or later" if suffix == "-or-later" else end
-                out.append((label, code, f"{code} ?v?{v}{zero}{short}", 3 if suffix else 2, 0.95))
-        out.append((code, "license", f"gnu {word}general public license", 2, 0.9))
-        out.append((code, code, f"(?:gnu )?{code}", 1, 0.6))
-    for label, title, versions in (("apache", "apache(?: software)? license", ("1.0", "1.1", "2.0")), ("mpl", "mozilla public license", ("1.0", "1.1", "2.0")), ("epl", "eclipse public license", ("1.0", "2.0")), ("cddl", "common development and distribution license", ("1.0", "1.1")), ("npl", "netscape public license", ("1.0", "1.1")), ("lppl", "latex project public license", ("1.0", "1.2", "1.3"))):
-        for version in versions:
-            v = version.replace(".", " ")
-            out.append((f"{label}-{version}", "license", f"{title}(?: v(?:ersion)?)? ?{v}", 3, 1.0))
-            out.append((f"{label}-{version}", "spdx", f"spdx license identifier {label} {v}", 3, 1.0))
-            out.append((f"{label}-{version}", "licenses", f"licenses? (?:license )?{label} {v}", 2, 0.9))
-        out.append((label, "license", title, 2, 0.9))
-        out.append((label, "licensed", f"licensed under (?:the )?{title}", 2, 0.95))
-    for n, word in enumerate(("zero", "one", "two", "three", "four")):
-        out.append((f"bsd-{n}-clause", "bsd", f"bsd {n} clause", 3, 1.0))
-        out.append((f"bsd-{n}-clause", "clause", f"(?:{word}|{n}) clause bsd", 3, 1.0))
-    return out
-
-
-def rules() -> list[Rule]:
-    """All rules in order; earlier ones win ties."""
-    return [*((label, phrase.split()[-1] if phrase.endswith("license") else phrase.split()[0], phrase, 1, 0.8) for phrase, label in BASE.items()), *written_rules(), *family_rules()]
 
 
 def rule_table(known: list[Rule]) -> Column:
@@ -145,7 +37,7 @@ def scan(docs: DataFrame) -> DataFrame:
     kinds = sorted({k for _, k, _, _, _ in known})
     table_ = rule_table(known)
     form = F.concat(F.lit(" "), F.btrim(F.regexp_replace(lower_az(F.coalesce("text", F.lit(""))), GAPS, " ")), F.lit(" "))
-    rows = docs.select("doc_id", form.alias("form")).withColumn("gate", F.col("form").rlike(f" (?:{'|'.join(kinds)})"))
+    rows = docs.select("doc_id", form.alias("form")).withColumn("gate", F.col("form").rlike(gate(kinds)))
 
     def spans(r: Column) -> Column:
         marked = F.split(F.regexp_replace(F.col("form"), r["rx"], F.lit("\x01$0\x02")), " ")
@@ -162,22 +54,26 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = F.array_sort(F.flatten(F.transform(F.filter(chosen, lambda r: F.regexp_like(F.col("form"), r["rx"])), spans)))
     rows = rows.withColumn("hits", F.when(F.col("gate"), hits))
     none = F.lit(-1).cast("int")
-    start = F.struct(none.alias("e1"), none.alias("e2"), none.alias("e3"), F.array().cast("array<struct<start:int,end:int,label:string,score:double>>").alias("kept"))
+    start = F.struct(none.alias("e1"), none.alias("e2"), none.alias("e3"), F.lit("").alias("flags"))
 
     def step(acc: Column, h: Column) -> Column:
+        """Adds a flag a detection: an aggregate copies its state at every step, and flags are the least that can be copied."""
         end, level = -h["back"], -h["rank"]
         bar = F.when(level >= 3, acc["e3"]).when(level == 2, acc["e2"]).otherwise(acc["e1"])
-        one = F.array(F.struct(h["start"].alias("start"), end.alias("end"), h["label"].alias("label"), h["score"].alias("score")))
         return F.struct(
             F.greatest(acc["e1"], end).alias("e1"),
             F.when(level >= 2, F.greatest(acc["e2"], end)).otherwise(acc["e2"]).alias("e2"),
             F.when(level >= 3, F.greatest(acc["e3"], end)).otherwise(acc["e3"]).alias("e3"),
-            F.when(bar >= end, acc["kept"]).otherwise(F.concat(acc["kept"], one)).alias("kept"),
+            F.concat(acc["flags"], F.when(bar >= end, F.lit("0")).otherwise(F.lit("1"))).alias("flags"),
         )
 
+    # a column that a lambda names may be moved into it and computed once per element, so the flags come in by position
+    flags = F.split(F.aggregate("hits", start, step, lambda a: a["flags"]), "")
+    marked = F.filter(F.arrays_zip(F.col("hits").alias("h"), flags.alias("f")), lambda z: z["f"] == "1")
+    stands = F.transform(marked, lambda z: F.struct(z["h"]["start"].alias("start"), (-z["h"]["back"]).alias("end"), z["h"]["label"].alias("label"), z["h"]["score"].alias("score")))
     base = F.filter("hits", lambda h: h["base"])
     places = F.transform(base, lambda h: h["start"])
-    done = rows.withColumn("base", base).withColumn("places", places).withColumn("kept", F.aggregate("hits", start, step, lambda a: a["kept"]))
+    done = rows.withColumn("base", base).withColumn("places", places).withColumn("kept", stands)
     names = lambda found: F.transform(found, lambda h: h["label"])
     text = lambda labels: F.coalesce(F.array_join(F.array_sort(F.array_distinct(labels)), ","), F.lit(""))
     bare = F.length("form") - F.length(F.replace(F.col("form"), F.lit(" "), F.lit("")))
