@@ -15,10 +15,12 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local session takes an own one, and a cluster is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gridflux-")
@@ -34,7 +36,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
     spark, path, schema = df.sparkSession, scratch(df.sparkSession, name), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._stored_at = path
+    return back
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete what `stored` wrote for these frames; nothing that is still to be computed may read them."""
+    for df in frames:
+        if path := getattr(df, "_stored_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sized(df: DataFrame, most_rows: int) -> DataFrame:
+    """df marked for broadcast if it is counted to hold at most most_rows rows, else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -56,18 +74,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_sample(df: DataFrame, key: str, ident: str, per_key: int, most_keys: int = 256) -> DataFrame:
-    """About per_key rows of each value of `key` (of the most frequent most_keys values), picked by a hash of `ident`.
+def bounded_sample(df: DataFrame, key: str, ident: str, per_key: int, most_rows: int = 300_000) -> DataFrame:
+    """About per_key rows of each value of `key`, fewer where so many values would bring more than most_rows; picked by a hash of `ident`.
 
-    The pick depends on the rows alone, not on partitions; the expected size is at most per_key * most_keys rows.
+    Every value has its share, however many there are. The pick depends on the rows alone, not on partitions.
     """
-    counts = df.groupBy(key).count().orderBy(F.desc("count"), key).limit(most_keys).collect()
-    rate = {r[key]: min(1.0, per_key / r["count"]) for r in counts if r[key] is not None}
-    if not rate:
+    known = stored(df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")), "classes")
+    kinds = known.count()
+    if not kinds:
         return df.limit(0)
+    per_key = max(1, min(per_key, most_rows // kinds))
     share = F.pmod(F.xxhash64(F.lit("sample"), F.col(ident).cast("string")), F.lit(1 << 20)) / float(1 << 20)
-    cut = F.create_map(*(x for k, v in rate.items() for x in (F.lit(k), F.lit(v))))
-    return df.where(F.col(key).isNotNull() & (share < F.element_at(cut, F.col(key))))
+    return df.join(sized(known, 100_000), F.col(key) == F.col("__key")).where(share * F.col("__n") < per_key).drop("__key", "__n")
 
 
 def with_computed(df: DataFrame, column: str, compute, added: str) -> DataFrame:

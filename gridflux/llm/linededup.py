@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import UPPER, lower_az, only, scratch, stored, table
+from gridflux.llm.common import UPPER, forget, lower_az, only, scratch, stored, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -89,12 +89,15 @@ def lost_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int =
     keys = stored(keys.select("id", "row", "pos", "k.h1", "k.h2"), "keys")
     cuts = keys.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges, runs = sorted({int(c) for c in cuts}), Runs(spark, fanout)
-    for lo, hi in zip([None, *edges], [*edges, None]):
-        part = keys if lo is None else keys.where(F.col("id") > lo)
-        runs.add(part if hi is None else part.where(F.col("id") <= hi))
-    lost = keys.join(runs.owners(), ["h1", "h2"]).where("first < id").select("id", "row", "pos")
-    runs.close()
-    return stored(lost.groupBy("id", "row").agg(F.collect_set("pos").alias("lost")), "lost")
+    try:
+        for lo, hi in zip([None, *edges], [*edges, None]):
+            part = keys if lo is None else keys.where(F.col("id") > lo)
+            runs.add(part if hi is None else part.where(F.col("id") <= hi))
+        lost = keys.join(runs.owners(), ["h1", "h2"]).where("first < id").select("id", "row", "pos")
+        return stored(lost.groupBy("id", "row").agg(F.collect_set("pos").alias("lost")), "lost")
+    finally:
+        runs.close()
+        forget(keys)
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import UPPER, only, stored, table
+from gridflux.llm.common import UPPER, forget, only, stored, table
 
 BITS = 64
 
@@ -118,7 +118,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        at = stored(small.where("u <> v").distinct(), "small")
+        old, at = at, stored(small.where("u <> v").distinct(), "small")
+        forget(old, large)
         now = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             break
