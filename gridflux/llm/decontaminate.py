@@ -5,22 +5,24 @@ pieces; a passage within k edits holds at least one of them unchanged, so an Aho
 finds every candidate place, and Myers' bit-parallel recurrence over a window around it decides and gives the distance.
 Normalising lower-cases and turns each run of characters other than letters and digits into one space.
 
-The benchmark is measured before it is broadcast; beyond `block_chars` it is met in blocks, one pass of the automaton
-each, without a shuffle of the documents.
+The benchmark is measured before it is broadcast; beyond `block_chars` it is met in blocks: one is collected and broadcast at
+a time, a pass of its automaton runs over the documents without a shuffle, and what it found is stored before the next.
 
-Edge cases: null and empty texts match nothing; items that are null or shorter than `least` characters are skipped, for
-a few letters prove no leak; items of equal text are all reported; repeated rows are judged alike; with an empty
+Edge cases: null and empty texts match nothing; null items match nothing; items shorter than `least` characters are met
+without edits at word edges, if they have at least `least_words` words, for one or two words stand in clean texts by chance;
+texts of any length are searched whole; of an item's places that with the least distance, then the first, is reported; items of equal text are all reported; repeated rows are judged alike; with an empty
 benchmark no row is contaminated; extra columns are kept by `decontaminate` and ignored by `matches`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import only, table, with_computed
+from gridflux.llm.common import only, stored, table, with_computed
 
 FOUND = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
 _GAP = re.compile(r"[\W_]+")
@@ -64,7 +66,7 @@ def myers(masks: dict[str, int], m: int, text: str, budget: int) -> tuple[int, i
 class Matcher:
     """All items of one block."""
 
-    def __init__(self, items: list[tuple[int, str]], piece: int):
+    def __init__(self, items: list[tuple[int, str]], piece: int, least: int = 0):
         import ahocorasick
 
         self.by_text: dict[str, list[int]] = {}
@@ -72,7 +74,7 @@ class Matcher:
             self.by_text.setdefault(text, []).append(item_id)
         self.items, words = [], {}
         for text, ids in self.by_text.items():
-            k, parts = pieces(text, piece)
+            k, parts = pieces(text, piece) if len(text) >= least else (None, [(0, text)])
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
@@ -87,16 +89,20 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of each item that the text holds, at the first place that proves it."""
+        """(item_id, distance, start, end) of each item that the text holds, at its best place."""
         x, found, tried = plain(text), {}, set()
         if not self.items or not x:
             return []
         for end, (size, places) in self.automaton.iter(x):
             for n, offset in places:
-                if n in found:
+                if n in found and not found[n][0]:
                     continue
-                ids, item, k, masks = self.items[n]
+                _, item, k, masks = self.items[n]
                 begin = end + 1 - size - offset  # where the item would start without insertions
+                if k is None:
+                    if (begin == 0 or x[begin - 1] == " ") and (end + 1 == len(x) or x[end + 1] == " "):
+                        found[n] = (0, begin, end + 1)
+                    continue
                 if (n, begin) in tried:
                     continue
                 tried.add((n, begin))
@@ -104,32 +110,34 @@ class Matcher:
                 window = x[lo : begin + len(item) + k]
                 if (hit := myers(masks, len(item), window, k)) is not None:
                     stop = lo + hit[1]
-                    found[n] = (hit[0], max(0, stop - len(item)), stop)
+                    place = (hit[0], max(0, stop - len(item)), stop)
+                    found[n] = min(found.get(n, place), place)
         return sorted((i, *hit) for n, hit in found.items() for i in self.items[n][0])
 
 
-def blocks(benchmark: DataFrame, least: int, block_chars: int) -> list[list[tuple[int, str]]]:
-    """The normalised items, in blocks of about block_chars; how many blocks there are follows from a measured size."""
+def blocks(benchmark: DataFrame, least: int, least_words: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The normalised items, in blocks of about block_chars, one at a time; how many there are follows from a measured size."""
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-total // block_chars)
-    out = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
-        out.append([(r["item_id"], x) for r in part.collect() if len(x := plain(r["text"])) >= least])
-    return out
+        yield [(r["item_id"], x) for r in part.collect() if (x := plain(r["text"])) and (len(x) >= least or x.count(" ") + 1 >= least_words)]
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, piece: int = 16, least: int = 32, block_chars: int = 16_000_000) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, piece: int = 16, least: int = 32, least_words: int = 3, block_chars: int = 16_000_000) -> DataFrame:
     """docs plus `__found`: which items each row's text holds, with distance and place (in normalised characters)."""
-    out = docs.withColumn("__found", F.array().cast(FOUND))
-    for block in blocks(benchmark, least, block_chars):
+    out, sent = docs.withColumn("__found", F.array().cast(FOUND)), None
+    for block in blocks(benchmark, least, least_words, block_chars):
+        if sent is not None:  # a further block: what the last one found is written, and its memory given back
+            out = stored(out, "matched")
+            sent.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def compute(sent=sent):
             import pyarrow as pa
 
-            matcher = Matcher(sent.value, piece)
+            matcher = Matcher(sent.value, piece, least)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
             return lambda texts: [pa.array([[dict(zip(("item_id", "distance", "start", "end"), h)) for h in matcher.find(t.as_py())] for t in texts], kind)]
 
