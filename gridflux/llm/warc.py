@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import only, scratch, stored, table
+from gridflux.llm.common import only, scratch, sized, stored, table
 
 CRLF = b"\r\n"
 MANIFEST = "archive string, records bigint"
@@ -58,12 +58,18 @@ def page_record(page_id, url, payload: bytes, digest: str, refers_to, salt: str,
     return record([*fields, ("Content-Type", "text/html; charset=utf-8")], b"" if revisit else payload)
 
 
-def decided(pages: DataFrame, least: int) -> DataFrame:
+def decided(pages: DataFrame, least: int, salts: int = 16) -> DataFrame:
     """Pages with payload, digest and the page that each one revisits (null: it is a response)."""
     rows = pages.select(F.col("page_id").cast("bigint"), "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     digests = rows.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     firsts = stored(digests.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
-    both = rows.withColumn("digest", F.sha2("payload", 256)).join(firsts, "digest", "left")
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    few = sized(firsts, 200_000)
+    if few is not firsts:
+        both = rows.join(few, "digest", "left")
+    else:  # payloads are dealt by digest and a salt, so that the copies of one page do not meet in one task
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        both = rows.join(firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["digest", "salt"], "left")
     return both.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
@@ -107,19 +113,20 @@ def write_monoliths(rows: DataFrame, folder: str, roll: int = 64 << 20, date: st
 
 def records_of(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of a gzip stream of one or more members, each with its header and closing blank lines; memory is bounded by a chunk and a record."""
-    inflate, held, ended = zlib.decompressobj(wbits=31), bytearray(), False
+    inflate, held, ended, rest = zlib.decompressobj(wbits=31), bytearray(), False, b""
 
     def more() -> None:
-        nonlocal inflate, ended
-        raw = inflate.unconsumed_tail or stream.read(chunk)
-        if not raw:
+        """Inflate at most a chunk further."""
+        nonlocal inflate, ended, rest
+        rest = rest or stream.read(chunk)
+        if not rest:
+            held.extend(inflate.flush())
             ended = True
             return
-        while raw:
-            held.extend(inflate.decompress(raw))
-            raw = b""
-            if inflate.eof:
-                raw, inflate = inflate.unused_data, zlib.decompressobj(wbits=31)
+        held.extend(inflate.decompress(rest, chunk))
+        rest = inflate.unconsumed_tail
+        if inflate.eof:
+            rest, inflate = inflate.unused_data, zlib.decompressobj(wbits=31)
 
     while True:
         while (end := held.find(CRLF * 2)) < 0 and not ended:
