@@ -2,8 +2,8 @@
 
 Terms are the lower-cased words of a text and the prefixes of its longer words, hashed into 2**20 places; a text is the
 set of its places. The machine scores w0 + sum of w_i + sum over pairs of <v_i, v_j>, so that two terms together can weigh more
-than their sum. It is trained by AdaGrad in numpy on a bounded sample of labelled rows; the `features` places that tell the
-classes of the sample apart best (chi-square) are kept, so that the model's size is a parameter.
+than their sum. It is trained by AdaGrad in numpy on a bounded sample of labelled rows; places are counted on the executors, and
+at most `features` of them that tell the classes apart beyond chance are the model's size.
 
 Edge cases: null and empty texts have no terms and get the score of the intercept; where rows of only one class, or none, are
 labelled, the score is that class's (0 without any); rows without doc_id count as not held out but are never learned
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import bounded_sample, crc_mod, only, table, with_computed
+from gridflux.llm.common import bounded_sample, crc_mod, only, stored, table, with_computed
 
 PLACES = 1 << 20
 PREFIXES = (4, 5, 6)
@@ -98,49 +98,50 @@ class FactorizationMachine:
         return self
 
 
-def chi_square(rows: list[np.ndarray], y: np.ndarray, most: int, least: int = 4, least_score: float = 15.0) -> np.ndarray:
-    """The places that tell the classes apart best, among those in at least `least` rows and beyond chance (chi-square)."""
-    pos = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y) if t)]), minlength=PLACES).astype(float)
-    neg = np.bincount(np.concatenate([np.zeros(0, np.int64), *(r for r, t in zip(rows, y) if not t)]), minlength=PLACES).astype(float)
-    n1, n0 = float(y.sum()), float(len(y) - y.sum())
-    both = pos + neg
-    gap = pos * (n0 - neg) - neg * (n1 - pos)
-    score = np.where(both >= least, gap * gap / np.maximum(both * (n1 + n0 - both), 1), -1)
-    best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(best[score[best] >= least_score])
+def telling(places: DataFrame, n1: int, n0: int, most: int, least: int = 3, least_score: float = 10.0) -> np.ndarray:
+    """The model's places, from (y, place) of the sample: those in `least` rows or more whose chi-square (one degree) is `least_score` or more, the best `most` of them.
+
+    A term that is spread evenly over the classes whatever stands beside it is left out, so a pair counts where at least a trace of it shows in each term alone.
+    """
+    got = places.groupBy("place").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg")).withColumn("both", F.col("pos") + F.col("neg")).where(F.col("both") >= least)
+    gap = (F.col("pos") * (n0 - F.col("neg")) - F.col("neg") * (n1 - F.col("pos"))).cast("double")
+    score = gap * gap * float(n1 + n0) / F.greatest(F.col("both") * (n1 + n0 - F.col("both")) * (float(n1) * float(n0)), F.lit(1e-9))
+    best = got.withColumn("score", score).where(F.col("score") >= least_score).orderBy(F.desc("score"), "place").limit(most)
+    return np.array(sorted(r["place"] for r in best.collect()), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 4000, features: int = 4096, rare: float = 3.0):
     """(machine, places) from a sample of about per_class rows of each class; (prior, None) where there is no second class.
 
-    Rows of the rarer class weigh `rare` times their share.
+    Rows of the rarer class weigh `rare` times their share. The driver gets the places of the sampled rows that the model keeps,
+    at most `features` a row, whatever the length of the texts.
     """
     marks = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     n = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
     if len(n) < 2:
         return float(next(iter(n), 0)), None
-    sample = bounded_sample(marks, "y", "doc_id", per_class, 2)
+    sample = stored(bounded_sample(marks, "y", "doc_id", per_class), "sample")
     # the sample's expected size is 2 * per_class rows of two numbers, whatever the corpus
-    texts = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")
+    texts = stored(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text"), "texts")
+    size = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
+    if len(size) < 2:
+        return float(next(iter(size), 0)), None
 
-    def compute():
-        import pyarrow as pa
+    def places(keep: dict[int, int] | None) -> DataFrame:
+        def compute():
+            import pyarrow as pa
+
+            read = Terms(keep)
+            return lambda column: [pa.array([np.sort(read(t.as_py())).tolist() for t in column], pa.list_(pa.int64()))]
+
+        return with_computed(texts, "text", compute, "places array<bigint>").select("doc_id", "y", "places")
 
-        read = Terms()
-        return lambda column: [pa.array([np.sort(read(t.as_py())).tolist() for t in column], pa.list_(pa.int64()))]
-
-    got = with_computed(texts, "text", compute, "places array<bigint>").select("doc_id", "y", "places").toArrow().sort_by("doc_id")
-    y = np.array(got["y"].to_pylist(), float)
-    if len(set(y.tolist())) < 2:
-        return float(y[0]) if len(y) else 0.0, None
-    rows = [np.array(r, np.int64) for r in got["places"].to_pylist()]
-    places = chi_square(rows, y, features)
-    where = np.full(PLACES, -1)
-    where[places] = np.arange(len(places))
-    rows = [r[r >= 0] for r in (where[r] for r in rows)]
-    share = {k: n[k] / max(1, int((y == k).sum())) for k in n}
+    kept = telling(places(None).select("y", F.explode("places").alias("place")), size.get(1, 0), size.get(0, 0), features)
+    got = places({int(p): i for i, p in enumerate(kept)}).toArrow().sort_by("doc_id")
+    y, rows = np.array(got["y"].to_pylist(), float), [np.array(r, np.int64) for r in got["places"].to_pylist()]
+    share = {k: n[k] / size[k] for k in n}
     weight = np.array([share[int(t)] * (rare if n[int(t)] == min(n.values()) else 1.0) for t in y])
-    return FactorizationMachine(len(places)).fit(rows, y, weight / weight.mean()), places
+    return FactorizationMachine(len(kept)).fit(rows, y, weight / weight.mean()), kept
 
 
 def score(docs: DataFrame, model) -> DataFrame:
