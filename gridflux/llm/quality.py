@@ -1,12 +1,13 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Each text gives counts, and these a transformed vector (log mean word length; square roots of symbols per word, of the
-share of repeated lines and of the share of words in repeated windows). For every language and source a
-minimum-covariance-determinant estimate is found from a deterministic start (medians and scaled absolute deviations) by
-concentration steps: the share `kept_share` of rows with the smallest Mahalanobis distances gives the next mean and
-covariance. One reweighting follows, and rows whose distance exceeds the chi-square quantile 1 - `tail` are rejected.
-A floor is added to each variance, for statistics that are zero in most texts have none. Sources with fewer than
-`least_rows` rows are pooled by language, languages with fewer into one pool; a pool that is smaller still rejects none.
+share of repeated lines and of the share of words in repeated windows). For every language and source, every language and
+all rows a minimum-covariance-determinant estimate is found from two deterministic starts (medians with scaled absolute
+deviations; mean with covariance) by concentration steps, until no determinant moves: the share `kept_share` of rows with the
+smallest Mahalanobis distances gives the next mean and covariance. The start with the smaller determinant counts, and one
+reweighting follows. A group of n rows is judged by its estimate drawn to its language's by n / (n + prior), and that to the
+one of all rows, at every size alike; rows whose distance exceeds the chi-square quantile 1 - `tail` are rejected. A floor is
+added to each variance, for statistics that are zero in most texts have none.
 
 Only DataFrame functions are used. Rows are never gathered by group: groups are summed and counted in histograms, and
 what is joined back is one row per group. Edge cases: a null text has no words and fails the base rules; null languages and
@@ -21,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import only, stored, table
+from gridflux.llm.common import forget, only, sized, stored, table
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -82,9 +83,22 @@ def chi2_quantile(p: float, dof: int) -> float:
     return (lo + hi) / 2
 
 
-def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+SHAPE = [*(f"m{i}" for i in range(DIMS)), *(f"c{i}_{j}" for i, j in PAIRS)]
+
+
+def _joined(rows: DataFrame, groups: DataFrame, salts: int = 32, most: int = 200_000) -> DataFrame:
+    """rows with what groups hold of their k. Groups are broadcast if they are counted to be few; else rows of one k are dealt over `salts` tasks."""
+    few = sized(groups, most)
+    if few is not groups:
+        return rows.join(few, "k")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"v{i}" for i in range(DIMS))), F.lit(salts)).cast("int"))
+    return salted.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["k", "salt"]).drop("salt")
+
+
+def _distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """d2 by forward substitution against the Cholesky factor in groups (k, m*, c*_*)."""
-    out = rows.join(groups, "k")
+    out = _joined(rows, groups.select("k", *SHAPE))
     for i in range(DIMS):
         rest = F.col(f"v{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -94,16 +108,21 @@ def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return out.select(*rows.columns, d2.alias("d2"))
 
 
-def _estimates(rows: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of scale * covariance + floors, per k."""
-    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    got = rows.groupBy("k").agg(*(F.avg(f"v{i}").alias(f"m{i}") for i in range(DIMS)), *(F.covar_pop(f"v{i}", f"v{j}").alias(f"a{i}_{j}") for i, j in pairs))
-    for i, j in pairs:
-        rest = F.col(f"a{i}_{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0)
+def _moments(rows: DataFrame, scale: float) -> DataFrame:
+    """Count, mean and scale * covariance + floors, per k."""
+    got = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *(F.avg(f"v{i}").alias(f"m{i}") for i in range(DIMS)), *(F.covar_pop(f"v{i}", f"v{j}").alias(f"a{i}_{j}") for i, j in PAIRS))
+    return got.select("k", "n", *(f"m{i}" for i in range(DIMS)), *((F.col(f"a{i}_{j}") * scale + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"a{i}_{j}") for i, j in PAIRS))
+
+
+def _factored(moments: DataFrame) -> DataFrame:
+    """The Cholesky factor of the covariance a*_*, and the logarithm of its determinant."""
+    for i, j in PAIRS:
+        rest = F.col(f"a{i}_{j}")
         for q in range(j):
             rest = rest - F.col(f"c{i}_{q}") * F.col(f"c{j}_{q}")
-        got = got.withColumn(f"c{i}_{j}", F.sqrt(rest) if i == j else rest / F.col(f"c{j}_{j}"))
-    return stored(got.select("k", *(f"m{i}" for i in range(DIMS)), *(f"c{i}_{j}" for i, j in pairs)), "mcd")
+        # a diagonal term is at least its floor but for rounding
+        moments = moments.withColumn(f"c{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"c{j}_{j}"))
+    return moments.withColumn("logdet", sum((2 * F.log(f"c{i}_{i}") for i in range(DIMS)), F.lit(0.0)))
 
 
 def _nearest(rows: DataFrame, share: float) -> DataFrame:
@@ -112,46 +131,71 @@ def _nearest(rows: DataFrame, share: float) -> DataFrame:
     bins = cell.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("k")
     run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    edge = run.where(F.col("upto") >= F.col("all") * share).groupBy("k").agg(F.min("bin").alias("edge"))
-    return cell.join(edge, "k").where("bin <= edge").drop("bin", "edge")
+    edge = stored(run.where(F.col("upto") >= F.col("all") * share).groupBy("k").agg(F.min("bin").alias("edge")), "edges")
+    return _joined(cell, edge).where("bin <= edge").drop("bin", "edge")
 
 
-def pooled(rows: DataFrame, least_rows: int) -> DataFrame:
-    """rows with the key k of the pool that judges them; null where there are too few rows for any."""
-    lang, source = F.coalesce("lang", F.lit("\x01")), F.coalesce("source", F.lit("\x01"))
-    rows = rows.withColumn("g", F.concat_ws("\x00", lang, source)).withColumn("g_lang", lang)
-    cells = stored(rows.groupBy("g", "g_lang").agg(F.count(F.lit(1)).alias("n")), "cells")
-    small = cells.where(F.col("n") < least_rows)
-    by_lang = small.groupBy("g_lang").agg(F.sum("n").alias("n_lang"))
-    rest = by_lang.where(F.col("n_lang") < least_rows).agg(F.coalesce(F.sum("n_lang"), F.lit(0))).first()[0]
-    last = F.lit("\x02") if rest >= least_rows else F.lit(None).cast("string")
-    keys = cells.join(by_lang, "g_lang", "left").select("g", F.when(F.col("n") >= least_rows, F.col("g")).when(F.col("n_lang") >= least_rows, F.concat(F.lit("\x02"), "g_lang")).otherwise(last).alias("k"))
-    return rows.join(stored(keys, "pools"), "g").drop("g", "g_lang")
+def levels(lang: Column, source: Column) -> Column:
+    """The keys of the estimates a row counts in: its language and source, its language, all."""
+    lang, source = F.coalesce(lang, F.lit("\x01")), F.coalesce(source, F.lit("\x01"))
+    return F.array(F.concat(F.lit("2"), lang, F.lit("\x00"), source), F.concat(F.lit("1"), lang), F.lit("0"))
 
 
-def judged(docs: DataFrame, least_words: int = 50, kept_share: float = 0.75, steps: int = 2, least_rows: int = 100, tail: float = 1e-6) -> DataFrame:
-    """docs' columns but text, the counts, base_failed, d2 (null where nothing judges a row) and kept."""
-    seen = counts(docs).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    seen = stored(seen, "counts")
-    good = seen.where(~F.col("base_failed"))
-    rows = pooled(good.select(*docs.drop("text").columns, *(c for c in seen.columns if c not in docs.columns), *(v.alias(f"v{i}") for i, v in enumerate(vector()))), least_rows)
-    rows = stored(rows, "vectors")
-    fit = rows.where("k is not null").select("k", *(f"v{i}" for i in range(DIMS)))
-    mids = stored(fit.groupBy("k").agg(*(F.percentile_approx(f"v{i}", 0.5).alias(f"m{i}") for i in range(DIMS))), "medians")
-    off = fit.join(mids, "k").groupBy("k").agg(*(F.percentile_approx(F.abs(F.col(f"v{i}") - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i in range(DIMS)))
-    first = mids.join(off, "k").select("k", *(f"m{i}" for i in range(DIMS)), *((F.sqrt((F.col(f"s{i}") * 1.4826) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i in range(DIMS) for j in range(i + 1)))
-    groups = stored(first, "start")
+def mcd(rows: DataFrame, kept_share: float, most_steps: int) -> DataFrame:
+    """Count, mean and covariance of every k of rows (k, v*): the start that ends at the smaller determinant, reweighted."""
+    own = [f"v{i}" for i in range(DIMS)]
+    mids = stored(rows.groupBy("k").agg(*(F.percentile_approx(v, 0.5).alias(f"m{i}") for i, v in enumerate(own))), "medians")
+    off = _joined(rows, mids).groupBy("k").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, v in enumerate(own)))
+    spread = [((F.col(f"s{i}") * 1.4826) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in PAIRS]
+    robust = mids.join(off, "k").select("k", F.lit(0).cast("bigint").alias("n"), *(f"m{i}" for i in range(DIMS)), *spread)
+    starts = robust.withColumn("k", F.concat(F.lit("a"), "k")).union(_moments(rows, 1.0).withColumn("k", F.concat(F.lit("b"), "k")))
+    both = stored(rows.select(F.explode(F.array(F.concat(F.lit("a"), "k"), F.concat(F.lit("b"), "k"))).alias("k"), *own), "both")
     shrunk = kept_share / chi2_cdf(chi2_quantile(kept_share, DIMS), DIMS + 2)
-    for _ in range(steps):
-        groups = _estimates(_nearest(_with_distance(fit, groups), kept_share), shrunk)
+    groups = stored(_factored(starts), "mcd")
+    for _ in range(most_steps):
+        old, groups = groups, stored(_factored(_moments(_nearest(_distance(both, groups), kept_share), shrunk)), "mcd")
+        moved = groups.select("k", "logdet").join(old.select("k", F.col("logdet").alias("was")), "k").where(F.abs(F.col("logdet") - F.col("was")) > 1e-3)
+        settled = moved.isEmpty()
+        forget(old)
+        if settled:
+            break
+    best = groups.withColumn("key", F.substring("k", 2, 1 << 30)).groupBy("key").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "k")).alias("b"))
+    best = stored(best.select(F.col("key").alias("k"), "b.*"), "best")
     inner = chi2_quantile(0.975, DIMS)
-    groups = _estimates(_with_distance(fit, groups).where(F.col("d2") <= inner), 0.975 / chi2_cdf(inner, DIMS + 2))
-    names = [c for c in seen.columns]
-    far = _with_distance(rows.where("k is not null"), groups).select(*names, "d2")
-    rest = rows.where("k is null").select(*names, F.lit(None).cast("double").alias("d2"))
+    done = stored(_moments(_distance(rows, best).where(F.col("d2") <= inner), 0.975 / chi2_cdf(inner, DIMS + 2)), "reweighted")
+    forget(both, groups, mids)
+    return done
+
+
+def shrunk_to_parents(found: DataFrame, keys: DataFrame, prior: float) -> DataFrame:
+    """Per key of a language and source the factor of its estimate, drawn to the language's and that to the one of all rows, by n / (n + prior)."""
+    cols = [*(f"m{i}" for i in range(DIMS)), *(f"a{i}_{j}" for i, j in PAIRS)]
+    got = keys
+    for depth in range(3):  # keys are as many as there are groups, and each finds one row
+        part = found.where(F.substring("k", 1, 1) == str(2 - depth)).select(F.col("k").alias("at"), F.col("n").alias(f"n_{depth}"), *(F.col(c).alias(f"{c}_{depth}") for c in cols))
+        got = got.join(part, got["keys"][depth] == part["at"], "left").drop("at")
+    mix = []
+    for c in cols:
+        value = F.col(f"{c}_2")
+        for depth in (1, 0):
+            w = F.coalesce(F.col(f"n_{depth}"), F.lit(0)) / (F.coalesce(F.col(f"n_{depth}"), F.lit(0)) + prior)
+            value = w * F.coalesce(F.col(f"{c}_{depth}"), F.lit(0.0)) + (1 - w) * value
+        mix.append(value.alias(c))
+    return stored(_factored(got.select(F.col("keys")[0].alias("k"), *mix)), "shrunk")
+
+
+def judged(docs: DataFrame, least_words: int = 50, kept_share: float = 0.75, most_steps: int = 12, prior: float = 50.0, tail: float = 1e-6) -> DataFrame:
+    """docs' columns but text, the counts, base_failed, d2 (null where base_failed) and kept."""
+    seen = counts(docs).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    seen = stored(seen, "counts")
+    names = seen.columns
+    good = seen.where(~F.col("base_failed")).select(*names, levels(F.col("lang"), F.col("source")).alias("keys"), *(v.alias(f"v{i}") for i, v in enumerate(vector())))
+    fit = good.select(F.explode("keys").alias("k"), *(f"v{i}" for i in range(DIMS)))
+    groups = shrunk_to_parents(mcd(fit, kept_share, most_steps), good.select("keys").distinct(), prior)
+    far = _distance(good.withColumn("k", F.col("keys")[0]), groups).select(*names, "d2")
     failed = seen.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"))
     cut = chi2_quantile(1 - tail, DIMS)
-    return far.union(rest).union(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
+    return far.union(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

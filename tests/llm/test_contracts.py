@@ -298,3 +298,101 @@ def test_op10_equals_brute_force(spark):
     got = {(r.doc_id, r.item_id) for r in run(spark, "op10_decontaminate", SMALL)}
     ids, names = {d for d, *_ in docs}, {i for i, _ in items}
     assert {(d, i) for d, i in got if d in ids and i in names} == want
+
+
+def test_op5_rejects_planted_outliers_of_small_and_large_groups(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(60, 120))), "en", "web" if i < 300 else "small") for i in range(320)]
+    docs += [(1000 + i, " ".join("# $ %" if k % 2 else word() for k in range(80)), "en", "web" if i < 10 else "small") for i in range(12)]
+    docs += [(2000, " ".join("x" * 200 for _ in range(60)) + " a b c", "en", "web"), (2001, docs[5][1], None, None)]
+    from gridflux.llm import quality
+
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(got[1000 + i].kept for i in range(12)) and not got[2000].kept
+    assert all(got[i].kept for i in range(320)) and got[2001].kept
+
+
+def test_op5_estimate_equals_numpy(spark):
+    import numpy as np
+
+    from gridflux.llm import quality
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (400, 4)), rng.normal(8, 0.2, (90, 4))])
+    rows = spark.createDataFrame([("2g", *map(float, r)) for r in x], "k string, v0 double, v1 double, v2 double, v3 double")
+    got = quality.mcd(rows, 0.75, 20).first()
+    floors = np.diag(np.array(quality.FLOORS) ** 2)
+    m, s = np.median(x, 0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)) ** 2) + floors
+    dist = lambda m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+    for _ in range(30):
+        near = x[np.argsort(dist(m, s))[: int(0.75 * len(x))]]
+        m, s = near.mean(0), np.cov(near.T, bias=True) * 0.75 / quality.chi2_cdf(quality.chi2_quantile(0.75, 4), 6) + floors
+    inner = quality.chi2_quantile(0.975, 4)
+    good = x[dist(m, s) <= inner]
+    assert abs(got["n"] - len(good)) <= 8
+    assert np.allclose([got[f"m{i}"] for i in range(4)], good.mean(0), atol=0.05)
+
+
+def test_op10_short_items_stand_at_word_edges(spark):
+    from gridflux.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "So: what is the Capital of France?"), (2, "whatwhat is the capital of francerie"), (3, "yes")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "What is the capital of France"), (2, "yes")], "item_id bigint, text string")
+    assert [(r.doc_id, r.item_id, r.distance, r.start) for r in decontaminate.matches(docs, items).collect()] == [(1, 1, 0, 3)]
+
+
+def test_op10_blocks_do_not_matter_and_the_best_place_is_told(spark):
+    from gridflux.llm import decontaminate
+
+    items = [f"item {k} asks which of the {k} rivers of province number {k * 37} flows past the old mill" for k in range(6)]
+    docs = [(k, f"{items[k].replace('rivers', 'rivrs')} and later {items[k]} end") for k in range(6)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    whole = order(map(tuple, decontaminate.matches(d, b).collect()))
+    assert whole == order(map(tuple, decontaminate.matches(d, b, block_chars=100).collect()))
+    assert all((k, k) in {r[:2] for r in whole} for k in range(6)) and all(r[2] == 0 for r in whole if r[0] == r[1])
+
+
+def test_op4_names_that_only_hold_a_mark_are_not_dropped():
+    from gridflux.llm.html import DROP, MAIN, visible_lines
+
+    page = '<div class="content has-sidebar"><article><h1 class="entry-header">Title</h1><p>Body</p></article></div><div class="sidebar-left">menu</div>'
+    assert visible_lines(page) == [("Title", MAIN), ("Body", MAIN), ("menu", DROP)]
+
+
+def test_op8_reader_inflates_a_chunk_at_a_time():
+    import io
+
+    from gridflux.llm import warc
+
+    recs = [warc.record([("WARC-Type", "response")], bytes([65 + k % 26]) * 20_000) for k in range(300)]
+    packer = zlib.compressobj(6, wbits=31)
+    data = b"".join(packer.compress(r) for r in recs) + packer.flush()
+    for chunk in (64, 4096):
+        assert list(warc.records_of(io.BytesIO(data), chunk)) == recs
+    assert list(warc.records_of(io.BytesIO(data + data), 1 << 16)) == recs + recs
+
+
+def test_three_hundred_languages_can_be_sampled(spark):
+    from gridflux.llm.common import bounded_sample
+
+    df = spark.createDataFrame([(i, f"l{i % 300}") for i in range(3000)], "doc_id bigint, lang string")
+    got = bounded_sample(df, "lang", "doc_id", 1000, 3000).collect()
+    assert len({r.lang for r in got}) == 300
+
+
+def test_op3_finds_insults_by_pairs_and_alone():
+    import numpy as np
+
+    from gridflux.llm.toxicity import FactorizationMachine
+
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(3000):  # only the pair 0 and 1 is toxic
+        a, b = rng.random(2) < 0.5
+        rows.append(np.array(sorted(([0] if a else []) + ([1] if b else []) + [2 + int(rng.integers(20))])))
+        y.append(float(a and b))
+    m = FactorizationMachine(22).fit(rows, np.array(y), np.ones(len(y)))
+    assert m.one(np.array([0, 1, 5])) > 0.9 and m.one(np.array([0, 5])) < 0.3 and m.one(np.array([1, 5])) < 0.3
