@@ -43,7 +43,7 @@ def _bracketed(f: Callable, a, b, tol: float, max_iter: int, choose: Callable) -
         s["a"], s["fa"] = np.where(left, s["a"], c), np.where(left, fa, fc)
         s["b"], s["fb"] = np.where(left, c, s["b"]), np.where(left, fc, fb)
         s["side"] = np.where(left, -1, 1)
-        done |= (fc == 0) | (np.abs(s["b"] - s["a"]) <= tol) | (s["step"] > 1) & (np.abs(x - old) <= tol) & (np.abs(fc) <= tol)
+        done |= (fc == 0) | (np.abs(s["b"] - s["a"]) <= tol) | (s["step"] > 1) & (np.abs(x - old) <= tol * (1 + np.abs(x)))
     return np.where(odd, np.nan, x), used, done & ~odd
 
 

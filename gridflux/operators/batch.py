@@ -90,3 +90,17 @@ def matrices(rows: DataFrame, key: str, i: str = "i", j: str = "j", v: str = "v"
 def matrix_kernel(packed: DataFrame, kernel: Callable[[np.ndarray], dict], result: str) -> DataFrame:
     """kernel(matrix) -> dict, for every packed matrix."""
     return solve_rows(packed, lambda n, m, a: kernel(np.asarray(a).reshape(int(n), int(m))), ["n_rows", "n_cols", "a"], result)
+
+
+def solve_columns(problems: DataFrame, kernel: Callable[..., dict], inputs: list[str], result: str, keep: list[str] | None = None) -> DataFrame:
+    """kernel(*columns as float arrays) -> dict of result columns, for whole Arrow batches: element-wise solvers meet all rows of a batch at once."""
+    keep = keep if keep is not None else [c for c in problems.columns if c not in inputs]
+    fields = [x.strip().split()[0] for x in _split(result)]
+    kept = ", ".join(f"`{c}` {t}" for c, t in problems.select(*keep).dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            got = kernel(*(pdf[c].to_numpy(float) for c in inputs)) if len(pdf) else {f: [] for f in fields}
+            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame({f: got[f] for f in fields})], axis=1)
+
+    return problems.select(*dict.fromkeys([*keep, *inputs])).mapInPandas(run, f"{kept}, {result}" if kept else result)

@@ -1,4 +1,4 @@
 """All registered queries of the numerical operators."""
 
-from gridflux.plans import signals, statistics  # noqa: F401  (importing registers)
+from gridflux.plans import signals, solvers, specials, statistics  # noqa: F401  (importing registers)
 from gridflux.plans.base import QUERIES, SQL  # noqa: F401
