@@ -78,7 +78,7 @@ def richardson_derivative(f: Fn, x: Column, h: float = 0.1, levels: int = 4) ->
 
 
 def optimal_step_size(order: int = 1, accuracy: int = 2, scale: float = 1.0) -> float:
-    return scale * 2.220446049250313e-16 ** (1 / (order + accuracy))
+    return scale * 2.220446049250313e-16 ** (1 / (order + accuracy + 1))
 
 
 class Dual:

@@ -94,7 +94,8 @@ def ravel_multi_index(cols: list[Column], shape: tuple[int, ...]) -> Column:
 
 
 def length(df: DataFrame) -> int:
-    return (df.agg(F.max("i")).first()[0] or -1) + 1 if df.limit(1).count() else 0
+    last = df.agg(F.max("i")).first()[0]
+    return 0 if last is None else last + 1
 
 
 def concatenate(*parts: DataFrame) -> DataFrame:
@@ -294,7 +295,10 @@ def in1d(a: DataFrame, col: str, b: DataFrame, col_b: str) -> DataFrame:
 
 
 def bincount(df: DataFrame, v: str, weight: str | None = None) -> DataFrame:
-    return df.groupBy(F.col(v).alias("bin")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    """(bin, n) of every integer from 0 to the largest; n is a count or a sum of weights, 0 in empty bins."""
+    got = df.groupBy(F.col(v).cast("bigint").alias("bin")).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
+    bins = got.agg(F.max("bin").alias("last")).where("last >= 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last"))).alias("bin"))
+    return bins.join(got, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def searchsorted(df: DataFrame, x: str, edges: list[float], side: str = "left") -> DataFrame:

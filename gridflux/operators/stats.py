@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridflux.kernels.special import incomplete_beta, regularized_gamma_q
+
 from gridflux.functions.ieee import NAN
 
 
@@ -197,12 +201,14 @@ def bin_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 
 def histogram(df: DataFrame, x: str, bins: int = 10, limits: tuple[float, float] | None = None, weight: str | None = None) -> DataFrame:
-    """(bin, lo, hi, n) of non-empty bins; limits come from the data unless given."""
+    """(bin, lo, hi, n) of all bins, 0 in empty ones; limits come from the data unless given."""
     v = _d(x)
     ends = df.agg(F.min(v).alias("__lo"), F.max(v).alias("__hi")) if limits is None else df.sparkSession.range(1).select(F.lit(float(limits[0])).alias("__lo"), F.lit(float(limits[1])).alias("__hi"))
     rows = df.crossJoin(F.broadcast(ends)).withColumn("bin", bin_of(v, F.col("__lo"), F.col("__hi"), bins)).where("bin is not null")
     total = F.count(F.lit(1)) if weight is None else F.sum(_d(weight))
-    out = rows.groupBy("bin", "__lo", "__hi").agg(total.alias("n"))
+    full = rows.groupBy("bin").agg(total.alias("n"))
+    every = ends.where("__lo is not null").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))))
+    out = every.join(full, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     a, b = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo") - 0.5).otherwise(F.col("__lo")), F.when(F.col("__lo") == F.col("__hi"), F.col("__hi") + 0.5).otherwise(F.col("__hi"))
     width = (b - a) / bins
     return out.select("bin", (a + F.col("bin") * width).alias("lo"), (a + (F.col("bin") + 1) * width).alias("hi"), "n")
@@ -343,7 +349,7 @@ def bootstrap(df: DataFrame, x: str, ident: str, n_resamples: int = 200, seed: i
     v = _d(x)
     rows = df.select(v.alias("v"), F.col(ident).alias("id")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
     u, edge, term, weight = uniform_hash(F.lit(seed), F.col("resample"), F.col("id")), 0.0, math.exp(-1), F.lit(0)
-    for k in range(8):
+    for k in range(18):  # beyond 18 the weights are less likely than the hash can tell
         edge += term
         term /= k + 1
         weight = weight + F.when(u >= edge, 1).otherwise(0)
@@ -363,6 +369,55 @@ def permutation_test(df: DataFrame, x: str, group: str, a, b, ident: str, n_perm
     return gaps.where("draw > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.sum((F.abs("gap") >= F.abs("observed")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
+def p_value_t(statistic: float, dof: float) -> float:
+    """Two-sided, of Student's distribution."""
+    return incomplete_beta(dof / 2, 0.5, dof / (dof + statistic * statistic))
+
+
+def p_value_chi_square(statistic: float, dof: float) -> float:
+    return regularized_gamma_q(dof / 2, statistic / 2)
+
+
+def p_value_f(statistic: float, between: float, within: float) -> float:
+    return incomplete_beta(within / 2, between / 2, within / (within + between * statistic))
+
+
+def p_value_ks(statistic: float, n: float, m: float | None = None) -> float:
+    """Kolmogorov's limit for one sample of n, or two of n and m, with the usual small-sample shift of the argument."""
+    size = math.sqrt(n if m is None else n * m / (n + m))
+    x = (size + 0.12 + 0.11 / size) * statistic
+    if x < 0.3:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def quantile_t(p: float, dof: float) -> float:
+    """Where Student's distribution reaches p, by bisection."""
+    if p < 0.5:
+        return -quantile_t(1 - p, dof)
+    lo, hi = 0.0, 1.0
+    while 1 - p_value_t(hi, dof) / 2 < p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - p_value_t(mid, dof) / 2 < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+def student_interval(df: DataFrame, x: str, level: float = 0.95, *keys: str) -> DataFrame:
+    """(mean, lower, upper) per key from Student's quantile of its own degrees of freedom; groups of one row have null ends."""
+    v = _d(x)
+    got = df.groupBy(*keys).agg(F.avg(v).alias("mean"), (F.stddev_samp(v) / F.sqrt(F.count(v))).alias("__se"), (F.count(v) - 1).cast("double").alias("__dof"))
+
+    @F.pandas_udf("double")
+    def quantiles(dof: pd.Series) -> pd.Series:
+        known = {d: quantile_t(0.5 + level / 2, d) if d > 0 else None for d in dof.unique()}
+        return dof.map(known).astype("float64")
+
+    half = quantiles("__dof") * F.col("__se")
+    return got.select(*keys, "mean", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
+
+
 def pca(df: DataFrame, cols: list[str], n_components: int | None = None):
     """(means, variances, components): eigenvectors of the covariance matrix, whose size is that of the columns."""
     import numpy as np

@@ -34,12 +34,16 @@ def query(name: str, doubles: str = "", digits: int = 6, ints: str = "", other:
 
 
 def hourly(t) -> DataFrame:
-    """Events per hour as a signal (i, x); one row per hour of the table's span."""
+    """Events per hour as a signal (i, x); one row per hour of the table's span, zero where there are none."""
     h = t("events").groupBy(F.date_trunc("hour", "ts").alias("hr")).agg(F.count(F.lit(1)).cast("double").alias("x"))
-    return h.select((F.row_number().over(Window.orderBy("hr")) - 1).cast("bigint").alias("i"), "x")
+    ends = h.agg(F.min("hr").alias("lo"), F.max("hr").alias("hi"))
+    slots = ends.select("lo", F.explode(F.expr("sequence(lo, hi, interval 1 hour)")).alias("hr"))
+    return slots.join(h, "hr", "left").select(F.expr("timestampdiff(HOUR, lo, hr)").cast("bigint").alias("i"), F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-HOURLY = "h AS (SELECT row_number() OVER (ORDER BY hr) - 1 AS i, x FROM (SELECT date_trunc('hour', ts) AS hr, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1))"
+HOURLY = """hr_n AS (SELECT date_trunc('hour', ts) AS hr, CAST(count(*) AS DOUBLE) AS x FROM events GROUP BY 1),
+ hr_all AS (SELECT lo, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hr FROM (SELECT min(hr)::TIMESTAMP AS lo, max(hr)::TIMESTAMP AS hi FROM hr_n)),
+ h AS (SELECT date_diff('hour', lo, hr_all.hr) AS i, coalesce(x, 0.0) AS x FROM hr_all LEFT JOIN hr_n ON hr_all.hr = hr_n.hr::TIMESTAMP)"""
 
 
 def daily(t) -> DataFrame:

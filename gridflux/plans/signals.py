@@ -73,7 +73,7 @@ def array_searchsorted(spark, t):
     return arrays.searchsorted(t("events"), "value", EDGES).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("array_bincount", ints="bin", doubles="n", sql="SELECT p_size AS bin, sum(p_retailprice) AS n FROM part GROUP BY 1", digits=3)
+@query("array_bincount", ints="bin", doubles="n", sql="SELECT bin, coalesce(sum(p_retailprice), 0) AS n FROM (SELECT unnest(range((SELECT max(p_size) + 1 FROM part))) AS bin) r LEFT JOIN part ON p_size = bin GROUP BY 1", digits=3)
 def array_bincount(spark, t):
     return arrays.bincount(t("part"), "p_size", "p_retailprice")
 
@@ -96,11 +96,11 @@ def array_interp(spark, t):
 
 
 @query("array_ufuncs", ints="event_id", doubles="a b c d e f", digits=6, sql="""
-SELECT event_id, ln(value) AS a, sqrt(value) AS b, CASE WHEN value = 7 THEN 1 ELSE value - 7 * floor(value / 7) END AS c, exp(-value / 100) AS d, atan2(value, 3) AS e,
- CASE WHEN value = 0 THEN 1 ELSE sin(pi() * value) / (pi() * value) END AS f FROM events WHERE value <> 7""")
+SELECT event_id, ln(value) AS a, sqrt(value) AS b, value - 7 * floor(value / 7) AS c, exp(-value / 100) AS d, atan2(value, 3) AS e,
+ CASE WHEN value = 0 THEN 1 ELSE sin(pi() * value) / (pi() * value) END AS f FROM events""")
 def array_ufuncs(spark, t):
     v = F.col("value")
-    return t("events").where("value <> 7").select("event_id", ieee.unary("log", v).alias("a"), ieee.unary("sqrt", v).alias("b"), ieee.binary("remainder", v, F.lit(7.0)).alias("c"), ieee.unary("exp", -v / 100).alias("d"), ieee.binary("arctan2", v, F.lit(3.0)).alias("e"), ieee.unary("sinc", v).alias("f"))
+    return t("events").select("event_id", ieee.unary("log", v).alias("a"), ieee.unary("sqrt", v).alias("b"), ieee.binary("remainder", v, F.lit(7.0)).alias("c"), ieee.unary("exp", -v / 100).alias("d"), ieee.binary("arctan2", v, F.lit(3.0)).alias("e"), ieee.unary("sinc", v).alias("f"))
 
 
 @query("array_reduce_axis", ints="count_nonzero", doubles="sum mean std ptp", other="key", digits=6, sql=f"WITH {BY_TYPE} SELECT key, sum(x) AS sum, avg(x) AS mean, stddev_pop(x) AS std, max(x) - min(x) AS ptp, count(*) FILTER (x <> 0) AS count_nonzero FROM s GROUP BY 1")
@@ -215,29 +215,42 @@ def sig_window_blackman(spark, t):
     return arrays.window(spark, "blackman", 64)
 
 
-_HAAR = f"WITH {HOURLY}, g AS MATERIALIZED (SELECT i, x FROM h WHERE i < 512)"
+_HAAR = f"""WITH {HOURLY}, n_h AS (SELECT count(*) AS n FROM h), g AS MATERIALIZED (SELECT i, x FROM h
+ UNION ALL SELECT unnest(range(n, (n + 15) // 16 * 16)), (SELECT arg_max(x, i) FROM h) FROM n_h)"""
+
+
+def padded(h, multiple: int = 16):
+    """The whole signal, its last sample repeated up to a multiple of `multiple`, and that length."""
+    n = h.count()
+    size = -(-n // multiple) * multiple
+    last = h.where(F.col("i") == n - 1).select(F.explode(F.sequence(F.lit(n).cast("bigint"), F.lit(size - 1).cast("bigint"))).alias("i"), "x") if size > n else None
+    return (h if last is None else h.unionByName(last)), size
 
 
 @query("wav_haar_dwt", ints="i", doubles="a d", digits=6, sql=f"{_HAAR} SELECT p.i // 2 AS i, (p.x + q.x) / sqrt(2) AS a, (p.x - q.x) / sqrt(2) AS d FROM g p JOIN g q ON q.i = p.i + 1 WHERE p.i % 2 = 0")
 def wav_haar_dwt(spark, t):
-    return signal.dwt(hourly(t).where("i < 512"), "haar", 512)
+    g, n = padded(hourly(t))
+    return signal.dwt(g, "haar", n)
 
 
 @query("wav_roundtrip_db4", ints="i", doubles="x", digits=6, sql=f"{_HAAR} SELECT i, x FROM g")
 def wav_roundtrip_db4(spark, t):
-    return signal.idwt(signal.dwt(hourly(t).where("i < 512"), "db4", 512), "db4", 512)
+    g, n = padded(hourly(t))
+    return signal.idwt(signal.dwt(g, "db4", n), "db4", n)
 
 
 @query("wav_energy", ints="band", doubles="energy", digits=4, sql=_HAAR.replace("WITH", "WITH RECURSIVE", 1) + """, r(level, i, a, d) AS (SELECT 0, i, x, 0.0::DOUBLE FROM g UNION ALL
  SELECT level + 1, i // 2, (x0 + x1) / sqrt(2), (x0 - x1) / sqrt(2) FROM (SELECT level, i, a AS x0, lead(a) OVER (PARTITION BY level ORDER BY i) AS x1 FROM r WHERE level < 4) WHERE i % 2 = 0)
 SELECT level AS band, sum(d * d) AS energy FROM r WHERE level > 0 GROUP BY 1 UNION ALL SELECT 0, sum(a * a) FROM r WHERE level = 4""")
 def wav_energy(spark, t):
-    return signal.wavelet_energy(signal.wavedec(hourly(t).where("i < 512"), "haar", 512, level=4))
+    g, n = padded(hourly(t))
+    return signal.wavelet_energy(signal.wavedec(g, "haar", n, level=4))
 
 
 @query("wav_soft_threshold", ints="i", doubles="v", digits=6, sql=f"{_HAAR} SELECT p.i // 2 AS i, sign(p.x - q.x) * greatest(abs((p.x - q.x) / sqrt(2)) - 2, 0) AS v FROM g p JOIN g q ON q.i = p.i + 1 WHERE p.i % 2 = 0")
 def wav_soft_threshold(spark, t):
-    return signal.dwt(hourly(t).where("i < 512"), "haar", 512).select("i", signal.soft_threshold("d", 2.0).alias("v"))
+    g, n = padded(hourly(t))
+    return signal.dwt(g, "haar", n).select("i", signal.soft_threshold("d", 2.0).alias("v"))
 
 
 @query("sig_welch", ints="k", doubles="freq power", digits=6, sql=f"""

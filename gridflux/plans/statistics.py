@@ -121,7 +121,8 @@ def stats_ks_exponential(spark, t):
 HIST = """
 WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
  b AS (SELECT CASE WHEN o_totalprice = hi THEN {n} - 1 ELSE least(floor((o_totalprice - lo) / (hi - lo) * {n}), {n} - 1) END AS bin, lo, hi FROM orders, e),
- g AS (SELECT bin, lo + bin * ((hi - lo) / {n}) AS lo, lo + (bin + 1) * ((hi - lo) / {n}) AS hi, count(*) AS n FROM b GROUP BY bin, b.lo, b.hi)
+ c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
+ g AS (SELECT r.bin, lo + r.bin * ((hi - lo) / {n}) AS lo, lo + (r.bin + 1) * ((hi - lo) / {n}) AS hi, coalesce(c.n, 0) AS n FROM e, range({n}) r(bin) LEFT JOIN c ON c.bin = r.bin)
 """
 
 
