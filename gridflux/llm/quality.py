@@ -3,14 +3,14 @@
 Each text gives counts, and these a transformed vector (log mean word length; square roots of symbols per word, of the
 share of repeated lines and of the share of words in repeated windows). For every language and source, every language and
 all rows a minimum-covariance-determinant estimate is found from two deterministic starts (medians with scaled absolute
-deviations; mean with covariance) by concentration steps, until no determinant moves: the share `kept_share` of rows with the
+deviations; mean with covariance) by concentration steps, until no determinant moves by a hundredth or `most_steps` are done: the share `kept_share` of rows with the
 smallest Mahalanobis distances gives the next mean and covariance. The start with the smaller determinant counts, and one
 reweighting follows. A group of n rows is judged by its estimate drawn to its language's by n / (n + prior), and that to the
 one of all rows, at every size alike; rows whose distance exceeds the chi-square quantile 1 - `tail` are rejected. A floor is
 added to each variance, for statistics that are zero in most texts have none.
 
-Only DataFrame functions are used. Rows are never gathered by group: groups are summed and counted in histograms, and
-what is joined back is one row per group. Edge cases: a null text has no words and fails the base rules; null languages and
+Only DataFrame functions are used. Rows are never gathered by group: groups are summed and sketched, and what is joined back is
+one row per group. Edge cases: a null text has no words and fails the base rules; null languages and
 sources form groups of their own; repeated rows count as often as they stand; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -19,17 +19,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import forget, only, sized, stored, table
+from gridflux.llm.common import forget, only, stored, table
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = r"[^#*$%&|<>]+"
 FLOORS = (0.05, 0.10, 0.15, 0.15)
 DIMS = len(FLOORS)
-BINS = 64
 
 
 def counts(docs: DataFrame, few: int = 32) -> DataFrame:
@@ -87,18 +86,22 @@ PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 SHAPE = [*(f"m{i}" for i in range(DIMS)), *(f"c{i}_{j}" for i, j in PAIRS)]
 
 
-def _joined(rows: DataFrame, groups: DataFrame, salts: int = 32, most: int = 200_000) -> DataFrame:
-    """rows with what groups hold of their k. Groups are broadcast if they are counted to be few; else rows of one k are dealt over `salts` tasks."""
-    few = sized(groups, most)
-    if few is not groups:
-        return rows.join(few, "k")
+def few_keys(rows: DataFrame, most: int = 100_000) -> bool:
+    """Whether rows have at most `most` different k, so that one row a k may be broadcast; counted, once per run."""
+    return rows.select("k").distinct().limit(most + 1).count() <= most
+
+
+def _joined(rows: DataFrame, groups: DataFrame, few: bool, salts: int = 32) -> DataFrame:
+    """rows with what groups hold of their k. Groups are broadcast if they are few; else rows of one k are dealt over `salts` tasks."""
+    if few:
+        return rows.join(F.broadcast(groups), "k")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"v{i}" for i in range(DIMS))), F.lit(salts)).cast("int"))
     return salted.join(groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["k", "salt"]).drop("salt")
 
 
-def _distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def _distance(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     """d2 by forward substitution against the Cholesky factor in groups (k, m*, c*_*)."""
-    out = _joined(rows, groups.select("k", *SHAPE))
+    out = _joined(rows, groups.select("k", *SHAPE), few)
     for i in range(DIMS):
         rest = F.col(f"v{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -125,14 +128,10 @@ def _factored(moments: DataFrame) -> DataFrame:
     return moments.withColumn("logdet", sum((2 * F.log(f"c{i}_{i}") for i in range(DIMS)), F.lit(0.0)))
 
 
-def _nearest(rows: DataFrame, share: float) -> DataFrame:
-    """The share of each group's rows with the smallest d2, up to the upper edge of the histogram bin that completes it."""
-    cell = rows.withColumn("bin", F.floor(F.log1p("d2") * BINS))
-    bins = cell.groupBy("k", "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("k")
-    run = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    edge = stored(run.where(F.col("upto") >= F.col("all") * share).groupBy("k").agg(F.min("bin").alias("edge")), "edges")
-    return _joined(cell, edge).where("bin <= edge").drop("bin", "edge")
+def _nearest(rows: DataFrame, share: float, few: bool) -> DataFrame:
+    """The share of each group's rows with the smallest d2, up to the quantile that sketches of accuracy 1e-4 give."""
+    edge = rows.groupBy("k").agg(F.percentile_approx("d2", share).alias("edge"))
+    return _joined(rows, edge, few).where("d2 <= edge").drop("edge")
 
 
 def levels(lang: Column, source: Column) -> Column:
@@ -143,9 +142,9 @@ def levels(lang: Column, source: Column) -> Column:
 
 def mcd(rows: DataFrame, kept_share: float, most_steps: int) -> DataFrame:
     """Count, mean and covariance of every k of rows (k, v*): the start that ends at the smaller determinant, reweighted."""
-    own = [f"v{i}" for i in range(DIMS)]
+    own, few = [f"v{i}" for i in range(DIMS)], few_keys(rows)
     mids = stored(rows.groupBy("k").agg(*(F.percentile_approx(v, 0.5).alias(f"m{i}") for i, v in enumerate(own))), "medians")
-    off = _joined(rows, mids).groupBy("k").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, v in enumerate(own)))
+    off = _joined(rows, mids, few).groupBy("k").agg(*(F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5).alias(f"s{i}") for i, v in enumerate(own)))
     spread = [((F.col(f"s{i}") * 1.4826) ** 2 + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"a{i}_{j}") for i, j in PAIRS]
     robust = mids.join(off, "k").select("k", F.lit(0).cast("bigint").alias("n"), *(f"m{i}" for i in range(DIMS)), *spread)
     starts = robust.withColumn("k", F.concat(F.lit("a"), "k")).union(_moments(rows, 1.0).withColumn("k", F.concat(F.lit("b"), "k")))
@@ -153,8 +152,8 @@ def mcd(rows: DataFrame, kept_share: float, most_steps: int) -> DataFrame:
     shrunk = kept_share / chi2_cdf(chi2_quantile(kept_share, DIMS), DIMS + 2)
     groups = stored(_factored(starts), "mcd")
     for _ in range(most_steps):
-        old, groups = groups, stored(_factored(_moments(_nearest(_distance(both, groups), kept_share), shrunk)), "mcd")
-        moved = groups.select("k", "logdet").join(old.select("k", F.col("logdet").alias("was")), "k").where(F.abs(F.col("logdet") - F.col("was")) > 1e-3)
+        old, groups = groups, stored(_factored(_moments(_nearest(_distance(both, groups, few), kept_share, few), shrunk)), "mcd")
+        moved = groups.select("k", "logdet").join(old.select("k", F.col("logdet").alias("was")), "k").where(F.abs(F.col("logdet") - F.col("was")) > 1e-2)
         settled = moved.isEmpty()
         forget(old)
         if settled:
@@ -162,7 +161,7 @@ def mcd(rows: DataFrame, kept_share: float, most_steps: int) -> DataFrame:
     best = groups.withColumn("key", F.substring("k", 2, 1 << 30)).groupBy("key").agg(F.min_by(F.struct(*SHAPE), F.struct("logdet", "k")).alias("b"))
     best = stored(best.select(F.col("key").alias("k"), "b.*"), "best")
     inner = chi2_quantile(0.975, DIMS)
-    done = stored(_moments(_distance(rows, best).where(F.col("d2") <= inner), 0.975 / chi2_cdf(inner, DIMS + 2)), "reweighted")
+    done = stored(_moments(_distance(rows, best, few).where(F.col("d2") <= inner), 0.975 / chi2_cdf(inner, DIMS + 2)), "reweighted")
     forget(both, groups, mids)
     return done
 
@@ -184,7 +183,7 @@ def shrunk_to_parents(found: DataFrame, keys: DataFrame, prior: float) -> DataFr
     return stored(_factored(got.select(F.col("keys")[0].alias("k"), *mix)), "shrunk")
 
 
-def judged(docs: DataFrame, least_words: int = 50, kept_share: float = 0.75, most_steps: int = 12, prior: float = 50.0, tail: float = 1e-6) -> DataFrame:
+def judged(docs: DataFrame, least_words: int = 50, kept_share: float = 0.75, most_steps: int = 6, prior: float = 50.0, tail: float = 1e-6) -> DataFrame:
     """docs' columns but text, the counts, base_failed, d2 (null where base_failed) and kept."""
     seen = counts(docs).withColumn("base_failed", (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     seen = stored(seen, "counts")
@@ -192,7 +191,8 @@ def judged(docs: DataFrame, least_words: int = 50, kept_share: float = 0.75, mos
     good = seen.where(~F.col("base_failed")).select(*names, levels(F.col("lang"), F.col("source")).alias("keys"), *(v.alias(f"v{i}") for i, v in enumerate(vector())))
     fit = good.select(F.explode("keys").alias("k"), *(f"v{i}" for i in range(DIMS)))
     groups = shrunk_to_parents(mcd(fit, kept_share, most_steps), good.select("keys").distinct(), prior)
-    far = _distance(good.withColumn("k", F.col("keys")[0]), groups).select(*names, "d2")
+    rows = good.withColumn("k", F.col("keys")[0])
+    far = _distance(rows, groups, few_keys(groups)).select(*names, "d2")
     failed = seen.where("base_failed").select(*names, F.lit(None).cast("double").alias("d2"))
     cut = chi2_quantile(1 - tail, DIMS)
     return far.union(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
