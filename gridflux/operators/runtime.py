@@ -15,15 +15,22 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="gridflux-loop-")
     return _OWN[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: a bounded plan each round that survives lost executors."""
-    spark, path, schema = df.sparkSession, f"{shared_dir(df.sparkSession)}/loop-{uuid.uuid4().hex}", df.schema
+    spark, path, schema = df.sparkSession, scratch(df.sparkSession, "loop"), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
