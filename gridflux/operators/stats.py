@@ -358,15 +358,27 @@ def bootstrap(df: DataFrame, x: str, ident: str, n_resamples: int = 200, seed: i
 
 
 def permutation_test(df: DataFrame, x: str, group: str, a, b, ident: str, n_permutations: int = 200, seed: int = 0) -> DataFrame:
-    """Share of relabellings whose difference of means is at least the observed one. Labels are drawn by hashed thresholds of the group share."""
-    rows = df.where(F.col(group).isin(a, b)).select(_d(x).alias("v"), (F.col(group) == a).cast("int").alias("a"), F.col(ident).alias("id"))
-    share = rows.agg(F.avg("a")).first()[0] or 0.0
-    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_permutations))))
-    label = F.when(F.col("draw") == 0, F.col("a")).otherwise((uniform_hash(F.lit(seed), F.col("draw"), F.col("id")) < share).cast("int"))
-    rows = rows.withColumn("g", label)
-    gaps = rows.groupBy("draw").agg((F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v")))).alias("gap"))
-    seen = gaps.where("draw = 0").select(F.col("gap").alias("observed"))
-    return gaps.where("draw > 0").crossJoin(F.broadcast(seen)).groupBy("observed").agg(((F.sum((F.abs("gap") >= F.abs("observed")).cast("int")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    """Share of relabellings whose difference of means is at least the observed one; group sizes stay as they are.
+
+    A draw gives label a to the rows of the n_a least hashes. Counts by the first 16 bits of the hash tell in which cell the
+    last of them lies, so that only the rows of that cell, some 65,536th of all, are ranked.
+    """
+    rows = df.where(F.col(group).isin(a, b) & F.col(x).isNotNull()).select(_d(x).alias("v"), (F.col(group) == a).alias("a"), F.col(ident).alias("id"))
+    whole = rows.agg(F.count_if("a").alias("n_a"), F.count_if(~F.col("a")).alias("n_b"), F.sum(F.when(F.col("a"), F.col("v"))).alias("s_a"), F.sum("v").alias("s"))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_permutations)))).withColumn("h", F.xxhash64(F.lit(seed), F.col("draw"), F.col("id")))
+    drawn = drawn.withColumn("cell", F.shiftrightunsigned("h", 48))
+    cells = drawn.groupBy("draw", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("to", F.sum("n").over(Window.partitionBy("draw").orderBy("cell")))
+    edge = cells.crossJoin(F.broadcast(whole)).where("to >= n_a and to - n < n_a").select("draw", F.col("cell").alias("edge"), (F.col("n_a") - F.col("to") + F.col("n")).alias("need"))
+    met = drawn.join(F.broadcast(edge), "draw")  # a row per draw
+    inner = met.where("cell < edge").groupBy("draw").agg(F.sum("v").alias("s"))
+    last = met.where("cell = edge").withColumn("rank", F.row_number().over(Window.partitionBy("draw").orderBy("h", "id", "v")))
+    taken = inner.unionByName(last.where("rank <= need").groupBy("draw").agg(F.sum("v").alias("s"))).groupBy("draw").agg(F.sum("s").alias("drawn"))
+
+    def gap(part: str) -> Column:
+        return F.col(part) / F.col("n_a") - (F.col("s") - F.col(part)) / F.col("n_b")
+
+    gaps = taken.crossJoin(F.broadcast(whole)).where("n_a > 0 and n_b > 0").select(gap("s_a").alias("observed"), gap("drawn").alias("gap"))
+    return gaps.agg(F.max("observed").alias("observed"), ((F.count_if(F.abs("gap") >= F.abs("observed") - 1e-12 * F.abs("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
 def p_value_t(statistic: float, dof: float) -> float:
