@@ -32,3 +32,12 @@ def test_welford_is_stable(spark):
     df = spark.createDataFrame([(1e9 + i,) for i in range(1, 5)], "x double")
     row = stats.welford_mean_var(df, "x").first()
     assert row["variance"] == pytest.approx(5 / 3, rel=1e-9)
+
+
+def test_elliptic_integrals_end_for_every_parameter():
+    from gridflux.kernels import special
+
+    for m in (np.arange(1, 51) / 60, np.linspace(1e-9, 1 - 1e-9, 2001)):
+        k, e, kc, ec = special.elliptic_k(m), special.elliptic_e(m), special.elliptic_k(1 - m), special.elliptic_e(1 - m)
+        assert np.allclose(kc * e + ec * k - k * kc, np.pi / 2, rtol=1e-9)
+    assert np.isfinite(special.elliptic_k(np.linspace(-5, 0.9999, 2000))).all()
