@@ -220,13 +220,19 @@ def _ends(m):
     return np.linalg.eigvalsh(m)[[0, -1]]
 
 
+def _updated(m, b):
+    """m as the update by a unit vector of a matrix that is inverted; one as long as b would leave that matrix indefinite or nearly singular."""
+    u = b / (np.linalg.norm(b) or 1.0)
+    return linalg.sherman_morrison(np.linalg.inv(m - np.outer(u, u)), u, u) @ b
+
+
 LINEAR = {
     "solve": linalg.solve, "gauss_elimination": linalg.gauss_elimination, "plu_solve": linalg.plu_solve, "gauss_jordan": linalg.gauss_jordan, "cholesky_solve": linalg.cholesky_solve, "ldl_solve": linalg.ldl_solve, "qr_householder": linalg.qr_solve,
     "qr_givens": lambda m, b: linalg.qr_solve(m, b, "givens"), "lu": lambda m, b: linalg.lu_solve(*linalg.lu_decomposition(m), b), "crout": lambda m, b: linalg.back_substitution((q := linalg.crout(m))[1], linalg.forward_substitution(q[0], b), True),
     "inverse": lambda m, b: linalg.inverse(m) @ b, "pseudoinverse": lambda m, b: linalg.pseudoinverse(m) @ b, "normal_equations": linalg.normal_equations, "qr_least_squares": linalg.qr_least_squares, "svd_least_squares": linalg.svd_least_squares,
     "jacobi_iteration": linalg.jacobi_iteration, "gauss_seidel": linalg.gauss_seidel, "sor": linalg.sor, "ssor": linalg.ssor, "conjugate_gradient": linalg.conjugate_gradient, "gmres": linalg.gmres, "minres": linalg.minres,
     "bicg": linalg.bicg, "cgs": linalg.cgs, "bicgstab": linalg.bicgstab, "cgnr": linalg.cgnr, "lsqr": linalg.lsqr, "chebyshev_iteration": lambda m, b: linalg.chebyshev_iteration(m, b, *_ends(m)),
-    "sherman_morrison": lambda m, b: linalg.sherman_morrison(np.linalg.inv(m - np.outer(b, b) / 100), b / 10, b / 10) @ b,
+    "sherman_morrison": _updated,
 }
 
 
