@@ -47,15 +47,21 @@ def nan_min(x) -> Column:
     return F.when(F.bool_or(F.isnan(_c(x))), NAN).otherwise(F.min(_c(x)))
 
 
+def floor(x) -> Column:
+    """Spark's floor is a bigint: it saturates, and makes NaN zero. Doubles from 2^53 on are whole."""
+    x = _c(x).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) >= 9007199254740992.0), x).otherwise(F.floor(x).cast("double"))
+
+
 def floor_divide(a, b) -> Column:
-    return F.floor(ieee_div(a, b)).cast("double")
+    return floor(ieee_div(a, b))
 
 
 def remainder(a, b) -> Column:
     """Floored remainder: it has the sign of b."""
     a, b = _c(a).cast("double"), _c(b).cast("double")
     safe = F.when(b == 0, F.lit(1.0)).otherwise(b)
-    return F.when(b == 0, NAN).otherwise(a - safe * F.floor(a / safe))
+    return F.when(b == 0, NAN).otherwise(a - safe * floor(a / safe))
 
 
 def divmod_(a, b) -> Column:
@@ -110,7 +116,7 @@ def unary(name: str, x) -> Column:
         "positive": lambda: x,
         "square": lambda: x * x,
         "reciprocal": lambda: ieee_div(1.0, x),
-        "floor": lambda: F.when(F.isnan(x) | whole, x).otherwise(F.floor(x).cast("double")),
+        "floor": lambda: floor(x),
         "ceil": lambda: F.when(F.isnan(x) | whole, x).otherwise(F.ceil(x).cast("double")),
         "trunc": lambda: F.when(F.isnan(x) | whole, x).otherwise(x.cast("bigint").cast("double")),
         "isnan": lambda: F.isnan(x),

@@ -55,3 +55,13 @@ def test_rank_one_update_gives_values_back_at_any_size(times):
     m = 1 / (1.0 + np.abs(np.subtract.outer(np.arange(6), np.arange(6)))) + 11 * np.eye(6)
     assert np.abs(LINEAR["sherman_morrison"](m, m @ x) - x).max() < 1e-8
     assert not LINEAR["sherman_morrison"](m, np.zeros(6)).any()
+
+
+def test_ufuncs_match_sql_beyond_whole_numbers(spark, tmp_path):
+    """A floor that is a bigint saturates: remainders of 1e20 and infinity were 3.5e19 and infinity."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    values = [0.0, 6.999999999999999, 7.0, 560.21, 1e16, 1e20, 1e300, float("inf"), None]
+    pq.write_table(pa.table({"event_id": range(len(values)), "value": pa.array(values, pa.float64())}), f"{tmp_path}/events.parquet")
+    check(entry.queries()["array_ufuncs"](spark, str(tmp_path)), entry.oracle_sql()["array_ufuncs"], str(tmp_path))
