@@ -55,6 +55,13 @@ def sized(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts travel to Python by so many rows at a time, unless the session says otherwise: with Spark's 10,000 a whole partition stands in the executor and in Python, and back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The columns an operator works with; extra ones, whatever their names, stay outside."""
     return df.select(*(df[f"`{n}`"] for n in names))
@@ -94,6 +101,7 @@ def with_computed(df: DataFrame, column: str, compute, added: str) -> DataFrame:
     `compute` is made anew in each task by calling it without arguments. Columns travel by position, so that their names
     may hold anything; columns that bear an added name are replaced.
     """
+    small_batches(df.sparkSession)
     new = T._parse_datatype_string(added)
     df = df.drop(*new.names)
     names = df.columns

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import only, stored, table
+from gridflux.llm.common import only, small_batches, stored, table
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -51,6 +51,7 @@ def _encoder(json_path: str):
 
 def token_pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece of at most `window` ids, with a checksum of its ids."""
+    small_batches(docs.sparkSession)
 
     def pieces(batches):
         import zlib

@@ -108,17 +108,20 @@ def links(fps: DataFrame, budget: int = 2, dense: int = 64) -> DataFrame:
     return near.union(stars).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): root is the least node reachable. Alternates large-star and small-star until the edges stand still."""
+def components(edges: DataFrame, most_rounds: int = 60, share: int = 50_000) -> DataFrame:
+    """(node, root): root is the least node reachable. Alternates large-star and small-star until the edges stand still.
+
+    The rounds never add edges but for one a node, so their tables are written by a task per `share` of the edges counted.
+    """
     at = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    seen, tasks = None, max(1, -(-at.count() // share))
     for _ in range(most_rounds):
         both = at.union(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().coalesce(tasks), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        old, at = at, stored(small.where("u <> v").distinct(), "small")
+        old, at = at, stored(small.where("u <> v").distinct().coalesce(tasks), "small")
         forget(old, large)
         now = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:

@@ -83,3 +83,35 @@ def test_near_duplicates_are_all_pairs_at_four_fifths(spark):
     wide = df.withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text").cast("bigint")})
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, wide, SMALL).collect()}
     assert kept == set(root.values())
+
+
+def test_components_write_few_files_for_few_edges(spark, monkeypatch):
+    """With 211 partitions that are not coalesced each round wrote a file a partition."""
+    from gridflux.llm import simhash
+
+    written, plain = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: written.setdefault(name, []).append((out := plain(df, name)).inputFiles()) or out)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chain = [(i, i + 1) for i in range(40) if i % 10 != 9]
+        roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert roots == {i: i // 10 * 10 for i in range(40)}
+    assert max(len(files) for name in ("large", "small") for files in written[name]) == 1
+
+
+def test_texts_travel_in_small_batches(spark):
+    """A whole partition of 3,000 texts came as one batch."""
+    from gridflux.llm.common import with_computed
+
+    def compute():
+        import pyarrow as pa
+
+        return lambda texts: [pa.array([len(texts)] * len(texts), pa.int64())]
+
+    df = with_computed(spark.range(3_000).coalesce(1).select(F.col("id").cast("string").alias("text")), "text", compute, "batch bigint")
+    assert df.agg(F.max("batch")).first()[0] <= 1_000 and df.count() == 3_000
