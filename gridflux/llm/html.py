@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridflux.llm.common import only, stored, table, with_computed
+from gridflux.llm.common import only, sized, stored, table, with_computed
 
 OPEN, MAIN, DROP = 0, 1, 2
 _TOKEN = re.compile(
@@ -197,6 +197,8 @@ def shared_lines(pages: DataFrame, block: int = 64, copy_share: float = 0.6) ->
     least = F.min(F.struct("path", "page_id", "row", "lines", "sizes", "main")).alias("least")
     heads = rows.groupBy("host", "body").agg(least).select("host", "body", "least.*")
     rank = ranked(heads, "host", "path", "page_id", "row")
+    ends = stored(rank.groupBy("host").agg(F.min("rank").alias("since"), F.max("rank").alias("until")), "hosts")
+    rank = rank.join(sized(ends, 1_000_000), "host")
     own = F.floor(F.col("rank") / block)
     spread = F.array_compact(F.array(own, F.when((F.col("rank") % block == 0) & (own > 0), own - 1), F.when(F.col("rank") % block == block - 1, own + 1)))
 
@@ -207,34 +209,100 @@ def shared_lines(pages: DataFrame, block: int = 64, copy_share: float = 0.6) ->
         for i, r in enumerate(pdf.itertuples()):
             if not np.any(r.sizes) or r.rank // block != key[0]:
                 continue
-            fallback = None
+            fallback, rest = None, False
             for j in outward(pdf, i):
-                other = pdf.iloc[j]
-                places = np.cumsum(np.array(r.sizes) > 0) - 1
-                same = [k for k in common_lines(list(r.lines), list(other["lines"])) if r.sizes[k]]
-                weight = sum(int(r.sizes[k]) for k in same)
-                same = [int(places[k]) for k in same]
-                if weight <= copy_share * max(1, min(int(np.sum(r.sizes)), int(np.sum(other["sizes"])))):
+                if rest := j is None:
+                    break
+                same, copy = in_common(r, pdf.iloc[j], copy_share)
+                if not copy:
                     fallback = same
                     break
                 if fallback is None and not r.main:
                     fallback = same
-            if fallback:
-                out.append((r.host, r.body, fallback))
-        return pd.DataFrame(out, columns=["host", "body", "shared"])
-
-    shared = stored(rank.withColumn("block", F.explode(spread)).groupBy("block").applyInPandas(pair, "host string, body bigint, shared array<int>"), "shared")
+            if fallback or rest:
+                out.append((r.host, r.body, fallback or [], rest))
+        return pd.DataFrame(out, columns=["host", "body", "shared", "rest"])
+
+    shared = stored(rank.withColumn("block", F.explode(spread)).groupBy("block").applyInPandas(pair, "host string, body bigint, shared array<int>, rest boolean"), "shared")
+    rest = shared.where("rest").select("host", "body", F.col("shared").alias("fallback"))
+    shared = shared.where("not rest").select("host", "body", "shared")
+    for found in wider(rank.withColumn("block", own), rest, block, copy_share):
+        shared = shared.union(found)
     return rows.select("page_id", "row", "host", "body").join(shared, ["host", "body"]).select("page_id", "row", "shared").dropDuplicates(["page_id", "row"])
 
 
+def in_common(r, other, copy_share: float) -> tuple[list[int], bool]:
+    """Positions in r's body of the lines that both pages hold, and whether these are so many that one is a copy of the other."""
+    places = np.cumsum(np.array(r.sizes) > 0) - 1
+    same = [k for k in common_lines(list(r.lines), list(other.lines)) if r.sizes[k]]
+    weight = sum(int(r.sizes[k]) for k in same)
+    return [int(places[k]) for k in same], weight > copy_share * max(1, min(int(np.sum(r.sizes)), int(np.sum(other.sizes))))
+
+
+def wider(rank: DataFrame, rest: DataFrame, block: int, copy_share: float):
+    """(host, body, shared) of the pages whose search leaves their block, as it settles.
+
+    Such a page meets further blocks of its host, twice as far in each round, until it has a partner that no page beyond
+    can be nearer than, or its host ends. Away from a page common prefixes only get shorter, so those met so far bound
+    the others. A group is two blocks, however long a run of copies is.
+    """
+    none = "cast(null as struct<prefix: int, back: bigint, low: int, shared: array<int>>)"
+    left = stored(rank.join(rest, ["host", "body"]).withColumn("best", F.expr(none)), "rest")
+    near, far = 0, 2
+    kind = "rank bigint, best struct<prefix: int, back: bigint, low: int, shared: array<int>>, front struct<prefix: int, back: bigint>, low int"
+
+    def meet(key, pdf):
+        import pandas as pd
+
+        pages, out = pdf[pdf["probe"] == 0].sort_values("rank"), []
+        for r in pdf[pdf["probe"] == 1].itertuples():
+            there = pages[pages["host"] == r.host]
+            for low, side in ((1, there[there["rank"] < r.rank][::-1]), (0, there[there["rank"] > r.rank])):
+                if not len(side):
+                    continue
+                best, last = None, side.iloc[-1]
+                for other in side.itertuples():
+                    same, copy = in_common(r, other, copy_share)
+                    if not copy:
+                        best = {"prefix": _prefix(r.path, other.path), "back": -abs(r.rank - other.rank), "low": low, "shared": same}
+                        break
+                out.append((r.rank, best, {"prefix": _prefix(r.path, last["path"]), "back": -abs(r.rank - int(last["rank"])) - 1}, low))
+        return pd.DataFrame(out, columns=["rank", "best", "front", "low"])
+
+    while not left.isEmpty():
+        first, last = F.floor(F.col("since") / block), F.floor(F.col("until") / block)
+        at = [F.sequence(F.greatest(first, F.col("block") - (far - 1)), F.col("block") - near), F.sequence(F.col("block") + near, F.least(last, F.col("block") + far - 1))]
+        at = F.array_union(F.when(F.col("block") - near >= first, at[0]).otherwise(F.array().cast("array<bigint>")), F.when(F.col("block") + near <= last, at[1]).otherwise(F.array().cast("array<bigint>")))
+        fields = ["host", "path", "rank", "lines", "sizes"]
+        probes = left.select(*fields, F.col("block").alias("home"), F.explode(at).alias("met"))
+        pages = rank.select(*fields, F.col("block").alias("met")).join(probes.select("home", "met").distinct(), "met")
+        both = probes.withColumn("probe", F.lit(1)).select(*fields, "home", "met", "probe").union(pages.withColumn("probe", F.lit(0)).select(*fields, "home", "met", "probe"))
+        seen = stored(both.groupBy("home", "met").applyInPandas(meet, kind), "met")
+        sides = seen.groupBy("rank").agg(F.max("best").alias("now"), F.min(F.when(F.col("low") == 1, F.col("front"))).alias("lo"), F.min(F.when(F.col("low") == 0, F.col("front"))).alias("hi"))
+        after = left.join(sides, "rank", "left").withColumn("best", F.greatest("best", "now")).drop("now")
+        key = F.struct(F.col("best.prefix").alias("prefix"), F.col("best.back").alias("back"))
+        closed = lambda end, front: end | (F.col("best").isNotNull() & F.coalesce(F.col(front) < key, F.lit(False)))
+        over = closed(F.col("block") - (far - 1) <= first, "lo") & closed(F.col("block") + (far - 1) >= last, "hi")
+        after = stored(after.withColumn("over", over), "rest")
+        yield after.where("over").select("host", "body", F.coalesce("best.shared", "fallback").alias("shared"))
+        left = after.where("not over").drop("lo", "hi", "over")
+        near, far = far, 2 * far
+
+
 def outward(pdf, i: int):
-    """Row numbers of the other pages of row i's host, nearest URL first."""
-    hosts, paths, lo, hi = pdf["host"], pdf["path"], i - 1, i + 1
+    """Row numbers of the other pages of row i's host, nearest URL first; None where a page outside pdf may be the next one."""
+    hosts, paths, ranks, lo, hi = pdf["host"], pdf["path"], pdf["rank"], i - 1, i + 1
+    since, until = pdf["since"][i], pdf["until"][i]
     while True:
         ends = [j for j in (lo, hi) if 0 <= j < len(pdf) and hosts[j] == hosts[i]]
-        if not ends:
+        beyond = [j for j, more in ((lo + 1, lo < 0 and ranks[0] > since), (hi - 1, hi >= len(pdf) and ranks[len(pdf) - 1] < until)) if more]
+        near = lambda j: (_prefix(paths[i], paths[j]), -abs(i - j))
+        j = max(ends, key=near) if ends else None
+        if any(j is None or (_prefix(paths[i], paths[k]), -abs(i - k) - 1) >= near(j) for k in beyond):
+            yield None
+            return
+        if j is None:
             return
-        j = max(ends, key=lambda j: (_prefix(paths[i], paths[j]), -abs(i - j)))
         yield j
         lo, hi = (j - 1, hi) if j < i else (lo, j + 1)
 

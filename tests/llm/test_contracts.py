@@ -396,3 +396,16 @@ def test_op3_finds_insults_by_pairs_and_alone():
         y.append(float(a and b))
     m = FactorizationMachine(22).fit(rows, np.array(y), np.ones(len(y)))
     assert m.one(np.array([0, 1, 5])) > 0.9 and m.one(np.array([0, 5])) < 0.3 and m.one(np.array([1, 5])) < 0.3
+
+
+def test_op4_partners_beyond_a_block_of_copies(spark):
+    """Within a block of copies a page found no partner, and kept what it shares with pages further off."""
+    from gridflux.llm import html
+
+    story = lambda k: f"<p>{' '.join(f'story{k}word{i}' for i in range(40))}</p>"
+    page = lambda k, text: (k, f"http://a.org/{k:03}", f"<article>{text}<p>number {k}</p><p>Subscribe to read on</p></article>")
+    pages = [page(k, story(0 if k < 70 else k)) for k in range(72)] + [(99, "http://b.org/1", f"<main>{story(1)}</main>")]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    found = [{r.page_id: (r.text, r.n_shared) for r in html.extract(df, block=b).collect()} for b in (4, 10**6)]
+    assert found[0] == found[1]
+    assert all(n == (1 if k < 72 else 0) and "Subscribe" not in t for k, (t, n) in found[0].items())
