@@ -28,8 +28,16 @@ FOUND = "array<struct<item_id:bigint,distance:int,start:bigint,end:bigint>>"
 _GAP = re.compile(r"[\W_]+")
 
 
+#: Bytes of Latin-1 with a space for what `_GAP` matches.
+_LATIN = bytes(32 if _GAP.match(chr(c)) else c for c in range(256))
+
+
 def plain(text: str | None) -> str:
-    return _GAP.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    try:
+        return b" ".join(low.encode("latin-1").translate(_LATIN).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        return _GAP.sub(" ", low).strip()
 
 
 def pieces(item: str, piece: int) -> tuple[int, list[tuple[int, str]]]:

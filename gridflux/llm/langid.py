@@ -101,16 +101,16 @@ class ByteCNN:
     def probabilities(self, x: np.ndarray, tables: dict[str, np.ndarray], block: int = 64) -> np.ndarray:
         out = np.empty((len(x), len(self.labels)), np.float32)
         for at in range(0, len(x), block):
-            b = x[at : at + block]
-            pairs = (b[:, :-1].astype(np.intp) << 8) | b[:, 1:]
+            b = np.ascontiguousarray(x[at : at + block].T)  # places first: the largest response is then taken over long rows
+            pairs = (b[:-1].astype(np.intp) << 8) | b[1:]
             pooled = []
             for w in WIDTHS:
-                n, s = b.shape[1] - w + 1, None
+                n, s = len(b) - w + 1, None
                 for j in range(0, w, 2):
                     look = pairs if j + 1 < w else b
-                    part = np.take(tables[f"{w}:{j}"], look[:, j : j + n], axis=0)
+                    part = np.take(tables[f"{w}:{j}"], look[j : j + n], axis=0)
                     s = part if s is None else np.add(s, part, out=s)
-                pooled.append(s.max(axis=1) + self.p[f"c{w}"])
+                pooled.append(s.max(axis=0) + self.p[f"c{w}"])
             out[at : at + block] = _softmax(np.maximum(np.concatenate(pooled, axis=1), 0) @ self.p["d"] + self.p["b"])
         return out
 

@@ -28,9 +28,8 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _key(line: Column, least: int) -> Column:
-    """The 128-bit key of a lower-cased line, null if it is too short."""
-    core = F.btrim(line, F.lit(BLANKS))
+def _key(core: Column, least: int) -> Column:
+    """The 128-bit key of a lower-cased and stripped line, null if it is too short."""
     return F.when(F.char_length(core) >= least, F.struct(F.xxhash64(core).alias("h1"), F.xxhash64(F.lit("line"), core).alias("h2")))
 
 
@@ -84,7 +83,9 @@ class Runs:
 def lost_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
     """(id, row, lost): the positions that the row with that id and text hash loses; rows that lose none are absent."""
     spark = docs.sparkSession
-    lines = F.transform(_lines(lower_az(F.col("text"))), lambda x: _key(x, least))
+    # lambdas are interpreted and share nothing: a line is stripped once, before the lambda that uses it three times
+    cores = F.transform(_lines(lower_az(F.col("text"))), lambda x: F.btrim(x, F.lit(BLANKS)))
+    lines = F.transform(cores, lambda x: _key(x, least))
     keys = docs.select("id", "row", F.posexplode(lines).alias("pos", "k")).where("k is not null")
     keys = stored(keys.select("id", "row", "pos", "k.h1", "k.h2"), "keys")
     cuts = keys.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
@@ -108,10 +109,15 @@ def dedup_lines(docs: DataFrame, least: int = 10, batches: int = 4, fanout: int
     lost = lost.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("lost").alias("__lost"))
     both = docs.join(lost, (rank == lost["__id"]) & (row == lost["__row"]), "left").drop("__id", "__row")
     lines = _lines(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lost"))
+
+    def left(own: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__lost"))
+        return F.array_join(F.transform(stay, lambda p: F.get(own, p)), "\n")
+
     both = both.withColumn("n_lines", F.size(lines).cast("bigint")).withColumn("n_dropped", F.coalesce(F.size("__lost"), F.lit(0)).cast("bigint"))
-    text = F.when(F.col("__lost").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
-    return both.withColumn("text", text).drop("__lost")
+    # the lines are a lambda's argument, or they would be split anew for each line; a generated column is not computed again by a filter on it
+    text = F.when(F.col("__lost").isNull(), F.array(F.coalesce("text", F.lit("")))).otherwise(F.transform(F.array(lines), left))
+    return both.withColumn("text", F.explode(text)).drop("__lost")
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
